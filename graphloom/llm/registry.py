@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .mixing import op1_mix_sources
+from .quality_rules import OP3_SQL, op3_quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix_sources": op1_mix_sources}
+    return {"op1_mix_sources": op1_mix_sources, "op3_quality_rules": op3_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_quality_rules": OP3_SQL}
