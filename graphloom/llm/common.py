@@ -135,3 +135,29 @@ def small_batches(batches, limit: int = 8 << 20):
         step = max(1, int(rows * limit / max(batch.nbytes, 1)))
         for at in range(0, rows, step):
             yield batch.slice(at, step)
+
+
+def map_texts(df: DataFrame, compute, fields: str, carry: list[str], text: str = "text") -> DataFrame:
+    """Columns `carry` of `df` with new columns `fields` (DDL), which `compute` makes of Arrow string arrays.
+
+    `compute` gets one pa.Array of texts of a few MB and returns one pa.Array for each field. Rows keep their order in
+    a partition; nothing is shuffled. A new column takes the place of one of the same name.
+    """
+    spark = df.sparkSession
+    new = spark.createDataFrame([], fields).schema
+    carry = [c for c in carry if c not in new.names]
+    own = df.select(*carry, F.col(text).cast("string").alias("__text"))
+    schema = type(new)([*own.schema.fields[:-1], *new.fields])
+
+    def run(batches):
+        for batch in small_batches(batches):
+            table_ = pa.Table.from_batches([batch])
+            made = compute(table_.column("__text").combine_chunks())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], *made], names=[*carry, *new.names])
+
+    return own.mapInArrow(run, schema)
+
+
+def crc_fold(n: int, column: str = "doc_id"):
+    """crc32 of a column as text, mod n; null for null."""
+    return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(n))

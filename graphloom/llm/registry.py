@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .language import op9_language_id
 from .mixing import op1_mix_sources
 from .quality_rules import OP3_SQL, op3_quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix_sources": op1_mix_sources, "op3_quality_rules": op3_quality_rules}
+    return {"op1_mix_sources": op1_mix_sources, "op3_quality_rules": op3_quality_rules, "op9_language_id": op9_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
