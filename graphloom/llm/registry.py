@@ -6,14 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .jaccard import OP2_SQL, op2_ngram_jaccard
 from .language import op9_language_id
 from .mixing import op1_mix_sources
 from .quality_rules import OP3_SQL, op3_quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix_sources": op1_mix_sources, "op3_quality_rules": op3_quality_rules, "op9_language_id": op9_language_id}
+    return {"op1_mix_sources": op1_mix_sources, "op2_ngram_jaccard": op2_ngram_jaccard, "op3_quality_rules": op3_quality_rules, "op9_language_id": op9_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": OP3_SQL}
+    return {"op2_ngram_jaccard": OP2_SQL, "op3_quality_rules": OP3_SQL}
