@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .jaccard import OP2_SQL, op2_ngram_jaccard
 from .language import op9_language_id
 from .mixing import op1_mix_sources
+from .personal import op10_personal_data
 from .quality_rules import OP3_SQL, op3_quality_rules
+from .secrets import op8_secret_scans
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix_sources": op1_mix_sources, "op2_ngram_jaccard": op2_ngram_jaccard, "op3_quality_rules": op3_quality_rules, "op9_language_id": op9_language_id}
+    return {"op1_mix_sources": op1_mix_sources, "op2_ngram_jaccard": op2_ngram_jaccard, "op3_quality_rules": op3_quality_rules, "op8_secret_scans": op8_secret_scans, "op9_language_id": op9_language_id, "op10_personal_data": op10_personal_data}
 
 
 def oracle_sql() -> dict[str, str]:
