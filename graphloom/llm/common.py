@@ -67,6 +67,11 @@ _SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[ord("A") : ord("Z") + 1] += 32
 _VALUES = np.random.default_rng(20240611).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+_MARKS = _SEP.copy()
+_MARKS[:128] = True
+for _a, _b in ("09", "AZ", "az"):
+    _MARKS[ord(_a) : ord(_b) + 1] = False
+_PLAIN_VALUES = np.where(_MARKS, np.uint64(0), _VALUES)
 _VALUES[_SEP] = 0
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.cumprod(np.full(4096, _BASE, np.uint64))
@@ -86,15 +91,16 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS
 
 
-def word_starts(piece: np.ndarray) -> np.ndarray:
+def word_starts(piece: np.ndarray, plain: bool = False) -> np.ndarray:
     """Where words start in one text or part of a text."""
-    word = ~_SEP[piece]
-    word[1:] &= _SEP[piece[:-1]]
+    sep = (_MARKS if plain else _SEP)[piece]
+    word = ~sep
+    word[1:] &= sep[:-1]
     return np.flatnonzero(word)
 
 
-def word_hashes(raw: np.ndarray, fold: bool = True) -> np.ndarray:
-    """64-bit hashes of the words of one text, in order; A-Z count as a-z if `fold`.
+def word_hashes(raw: np.ndarray, fold: bool = True, plain: bool = False) -> np.ndarray:
+    """64-bit hashes of the words of one text, in order; A-Z count as a-z if `fold`, ASCII marks as separators if `plain`.
 
     Long texts are cut at separators into parts of about PIECE bytes, so memory stays bounded by the longest word.
     """
@@ -109,13 +115,13 @@ def word_hashes(raw: np.ndarray, fold: bool = True) -> np.ndarray:
             end = min(n, end + 4096)
         piece = raw[at:end]
         at = end
-        starts = word_starts(piece)
+        starts = word_starts(piece, plain)
         if len(starts):
             own = _FOLD[piece[starts[0] :]] if fold else piece[starts[0] :]
             starts = starts - starts[0]
             spans = np.diff(np.append(starts, len(own)))
             place = np.arange(len(own)) - np.repeat(starts, spans)
-            out.append(mix(np.add.reduceat(_VALUES[own] * _powers(int(spans.max()))[place], starts)))
+            out.append(mix(np.add.reduceat((_PLAIN_VALUES if plain else _VALUES)[own] * _powers(int(spans.max()))[place], starts)))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
