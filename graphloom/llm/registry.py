@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .contamination import op6_decontaminate
+from .html_text import op4_html_extraction
 from .jaccard import OP2_SQL, op2_ngram_jaccard
 from .language import op9_language_id
 from .mixing import op1_mix_sources
@@ -17,7 +18,7 @@ from .secrets import op8_secret_scans
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix_sources": op1_mix_sources, "op2_ngram_jaccard": op2_ngram_jaccard, "op3_quality_rules": op3_quality_rules, "op6_decontaminate": op6_decontaminate, "op7_quality_classifier": op7_quality_classifier, "op8_secret_scans": op8_secret_scans, "op9_language_id": op9_language_id, "op10_personal_data": op10_personal_data}
+    return {"op1_mix_sources": op1_mix_sources, "op2_ngram_jaccard": op2_ngram_jaccard, "op3_quality_rules": op3_quality_rules, "op4_html_extraction": op4_html_extraction, "op6_decontaminate": op6_decontaminate, "op7_quality_classifier": op7_quality_classifier, "op8_secret_scans": op8_secret_scans, "op9_language_id": op9_language_id, "op10_personal_data": op10_personal_data}
 
 
 def oracle_sql() -> dict[str, str]:
