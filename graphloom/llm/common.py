@@ -60,6 +60,15 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw, offs, nulls
 
 
+#: Ids that may be broadcast, some 5 MB with their keys; more meet the documents in a shuffle.
+BROADCAST_IDS = 200_000
+
+
+def checked_broadcast(ids: DataFrame) -> DataFrame:
+    """`ids` (durable, a few columns wide), marked for broadcast only if they are at most BROADCAST_IDS rows."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
 #: Bytes that are handled at once; arrays of eight bytes a character stay under some 30 MB.
 PIECE = 1 << 20
 _SEP = np.zeros(256, bool)

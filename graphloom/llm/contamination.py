@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, small_batches, table, texts, word_hashes
+from .common import checked_broadcast, durable, mix, small_batches, table, texts, word_hashes
 
 K1, B = 1.2, 0.75
 BLOCK = 16
@@ -209,8 +209,8 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, question: str = "te
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no item. Rows without an id are never dropped."""
-    found = find_contaminated(docs, benchmark).select("doc_id").where(F.col("doc_id").isNotNull()).distinct()
-    return docs.join(found, "doc_id", "left_anti")
+    found = durable(find_contaminated(docs, benchmark).select("doc_id").where(F.col("doc_id").isNotNull()).distinct())
+    return docs.join(checked_broadcast(found), "doc_id", "left_anti")
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
