@@ -3,8 +3,8 @@
 The items are the index's documents, the passages of the training texts its queries. Impacts are BM25 weights divided by
 what an item scores against itself, so one threshold holds for all items: the share of an item's weight that a passage holds.
 Passages are windows of twice the longest item, each shifted by half, so an item that a text holds lies whole in one of them.
-A passage is skipped if even the greatest impacts of its words stay below the threshold; all others run through block-max
-WAND, which retrieves every item above it. Retrieved pairs are verified on five-word shingles of question and answer.
+Items stand by length in blocks. For all passages of a text at once, the block maxima of their words are summed, which skips
+every block that cannot reach the threshold; in the others WAND pivots retrieve every item above it. Retrieved pairs are verified on five-word shingles of question and answer.
 
 The index holds items of at most `index_bytes` of text. A larger benchmark is taken in several such blocks, one pass each,
 so what is sent to the executors never grows.
@@ -17,6 +17,7 @@ whole; extra columns are ignored.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import checked_broadcast, durable, mix, small_batches, table, texts, word_hashes
 
 K1, B = 1.2, 0.75
-BLOCK = 16
+BLOCK = 8
 GRAM = 5
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -53,7 +54,7 @@ class Index:
     def __init__(self, items: list[tuple[object, str | None, str | None]]):
         """Items are (id, question, answer); without an answer the last third of the words counts as it."""
         self.ids, self.parts, self.sizes, words = [], [], [], []
-        for key, question, answer in items:
+        for key, question, answer in sorted(items, key=lambda r: len(r[1] or "") + len(r[2] or "")):  # blocks of alike lengths have tight maxima
             q, a = (words_of(np.frombuffer((x or "").encode("utf-8", "replace"), np.uint8)) for x in (question, answer))
             if not len(a):
                 cut = len(q) - len(q) // 3
@@ -82,8 +83,18 @@ class Index:
                 posts[t].append((item, x))
         self.items = [[p[0] for p in post] for post in posts]
         self.impacts = [[p[1] for p in post] for post in posts]
-        self.most = np.asarray([max(p) for p in self.impacts]) if posts else np.zeros(0)
-        self.block_most = [[max(p[i : i + BLOCK]) for i in range(0, len(p), BLOCK)] for p in self.impacts]
+        # block maxima of each term, in one array with a pointer for each term
+        self.blocks = max(1, -(-n // BLOCK))
+        pointer, block, most = [0], [], []
+        for own, impact in zip(self.items, self.impacts, strict=True):
+            for item, x in zip(own, impact, strict=True):
+                if len(block) > pointer[-1] and block[-1] == item // BLOCK:
+                    most[-1] = max(most[-1], x)
+                else:
+                    block.append(item // BLOCK)
+                    most.append(x)
+            pointer.append(len(block))
+        self.pointer, self.block, self.most = np.asarray(pointer), np.asarray(block, np.int64), np.asarray(most)
         self.seen = np.zeros(1 << 16, bool)
         self.seen[(self.vocab >> np.uint64(48)).astype(np.int64)] = True
 
@@ -95,55 +106,76 @@ class Index:
         good = self.vocab[v] == h[at]
         return at[good], v[good]
 
-    def search(self, terms: list[int], least: float) -> list[tuple[int, float]]:
-        """All items whose impacts over `terms` (distinct) sum to `least` or more: block-max WAND."""
-        items, impacts, most, block_most = self.items, self.impacts, self.most, self.block_most
-        cursors = [[items[t][0], 0, t] for t in terms]  # item, place, term
-        out, slack = [], 1e-9
+    def candidates(self, passage: np.ndarray, terms: np.ndarray, count: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """(passage, block) pairs whose block maxima reach `least`, from distinct (passage, term) pairs of `count` passages."""
+        size = self.pointer[terms + 1] - self.pointer[terms]
+        first = np.cumsum(size) - size
+        at = np.arange(int(size.sum())) - np.repeat(first - self.pointer[terms], size)
+        key = np.repeat(passage, size) * self.blocks + self.block[at]
+        if count * self.blocks <= 1 << 20:
+            total = np.bincount(key, self.most[at], count * self.blocks)
+            found = np.flatnonzero(total >= least - 1e-9)
+        else:
+            own, back = np.unique(key, return_inverse=True)
+            found = own[np.bincount(back, self.most[at]) >= least - 1e-9]
+        return found // self.blocks, found % self.blocks
+
+    def within(self, terms: list[int], block: int, least: float) -> list[tuple[int, float]]:
+        """Items of one block whose impacts over distinct `terms` sum to `least` or more: WAND, bounded by the block's maxima."""
+        low, high = block * BLOCK, (block + 1) * BLOCK
+        cursors = []  # item, place, term, bound
+        for t in terms:
+            own = self.items[t]
+            k = bisect_left(own, low)
+            if k < len(own) and own[k] < high:
+                m = bisect_left(self.block, block, int(self.pointer[t]), int(self.pointer[t + 1]))
+                cursors.append([own[k], k, t, self.most[m]])
+        out = []
         while cursors:
             cursors.sort()
             total, pivot = 0.0, -1
             for k, c in enumerate(cursors):
-                total += most[c[2]]
-                if total >= least - slack:
+                total += c[3]
+                if total >= least - 1e-9:
                     pivot = k
                     break
             if pivot < 0:
                 break
             goal = cursors[pivot][0]
-            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == goal:
-                pivot += 1
-            # bound by the maxima of the blocks that hold the pivot item
-            bound, edge = 0.0, None
-            for c in cursors[: pivot + 1]:
-                own, at = items[c[2]], c[1]
-                block = at // BLOCK
-                while (block + 1) * BLOCK <= len(own) and own[(block + 1) * BLOCK - 1] < goal:
-                    block += 1
-                if block < len(block_most[c[2]]):
-                    bound += block_most[c[2]][block]
-                    last = own[min((block + 1) * BLOCK, len(own)) - 1]
-                    edge = last if edge is None else min(edge, last)
-            if bound >= least - slack:
-                if cursors[0][0] == goal:
-                    score = sum(impacts[c[2]][c[1]] for c in cursors if c[0] == goal)
-                    if score >= least - slack:
-                        out.append((goal, score))
-                    target = goal + 1
-                else:
-                    target = goal
-            else:
-                target = max(goal, edge if edge is not None else goal) + 1
-                if pivot + 1 < len(cursors):
-                    target = min(target, max(cursors[pivot + 1][0], goal + 1))
-            for c in cursors[: pivot + 1]:
-                own, at = items[c[2]], c[1]
-                while at < len(own) and own[at] < target:
-                    at += 1
-                c[0], c[1] = (own[at], at) if at < len(own) else (-1, at)
-            cursors = [c for c in cursors if c[0] >= 0]
+            if cursors[0][0] == goal:
+                score = sum(self.impacts[c[2]][c[1]] for c in cursors if c[0] == goal)
+                if score >= least - 1e-9:
+                    out.append((goal, score))
+                goal += 1
+            for c in cursors:
+                own = self.items[c[2]]
+                while c[1] < len(own) and own[c[1]] < goal:
+                    c[1] += 1
+                c[0] = own[c[1]] if c[1] < len(own) else high
+            cursors = [c for c in cursors if c[0] < high]
         return out
 
+    def search(self, terms: list[int], least: float) -> list[tuple[int, float]]:
+        """All items whose impacts over `terms` (distinct) sum to `least` or more."""
+        found = self.candidates(np.zeros(len(terms), np.int64), np.asarray(terms, np.int64), 1, least)[1]
+        return [x for b in found.tolist() for x in self.within(terms, b, least)]
+
+    def _found(self, at: np.ndarray, v: np.ndarray, starts: np.ndarray, length: int, least: float, chunk: int = 2048):
+        """(passage, [(item, score)]) of the passages that retrieve anything. Word `at[i]` of the text is term `v[i]`."""
+        low, high = np.searchsorted(at, starts), np.searchsorted(at, starts + length)
+        for first in range(0, len(starts), chunk):
+            a, size = low[first : first + chunk], high[first : first + chunk] - low[first : first + chunk]
+            place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size - a, size)
+            own = np.unique(np.repeat(np.arange(len(size)), size) * len(self.vocab) + v[place])
+            passage, terms = own // len(self.vocab), own % len(self.vocab)
+            hits: dict[int, list[tuple[int, float]]] = {}
+            for k, b in zip(*(x.tolist() for x in self.candidates(passage, terms, len(size), least)), strict=True):
+                i, j = np.searchsorted(passage, [k, k + 1])
+                hits.setdefault(k, []).extend(self.within(terms[i:j].tolist(), b, least))
+            for k, found in hits.items():
+                if found:
+                    yield first + k, found
+
     def matches(self, h: np.ndarray, least: float, overlap: float) -> list[tuple[int, float, float, float, int]]:
         """(item, score, question overlap, answer overlap, first word of the passage), the best passage of each item."""
         at, v = self.lookup(h)
@@ -151,13 +183,8 @@ class Index:
             return []
         stride = max(32, self.longest)
         starts = np.arange(0, max(1, len(h) - stride), stride)
-        total = np.concatenate([[0.0], np.cumsum(self.most[v])])
-        low, high = np.searchsorted(at, starts), np.searchsorted(at, starts + 2 * stride)
         best: dict[int, tuple[int, float, float, float, int]] = {}
-        for k in np.flatnonzero(total[high] - total[low] >= least - 1e-9):
-            found = self.search(np.unique(v[low[k] : high[k]]).tolist(), least)
-            if not found:
-                continue
+        for k, found in self._found(at, v, starts, 2 * stride, least):
             have = np.unique(grams(h[starts[k] : starts[k] + 2 * stride]))
             short: dict[int, np.ndarray] = {}
             for item, score in found:
@@ -177,7 +204,7 @@ class Index:
         return sorted(best.values())
 
 
-def find_contaminated(docs: DataFrame, benchmark: DataFrame, question: str = "text", answer: str | None = None, least: float = 0.6, overlap: float = 0.8, index_bytes: int = 16 << 20) -> DataFrame:
+def find_contaminated(docs: DataFrame, benchmark: DataFrame, question: str = "text", answer: str | None = None, least: float = 0.75, overlap: float = 0.8, index_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap, passage: a row for each document and item that it holds."""
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, passage long"
