@@ -34,18 +34,23 @@ def detect_entities(questions: DataFrame, catalog: DataFrame, key: str = "questi
     """
     q = questions.select(F.col(key).alias("__key"), normalize_name(F.col(text)).alias("nq"))
     names = catalog.withColumn("nn", normalize_name(F.col("entity_name"))).where("nn <> ''").groupBy("nn").agg(F.min_by(F.struct("entity_id", "entity_name", "entity_type", "position"), "position").alias("e"))
-    names = names.withColumn("probe", F.substring("nn", 1, gram))
-    sizes = [r["n"] for r in names.select(F.length("probe").alias("n")).distinct().collect()]  # lengths up to `gram`
-    found = None
-    for n in sizes:
-        probes = q.where(F.length("nq") >= n).select("__key", F.explode(F.expr(f"array_distinct(transform(sequence(1, length(nq) - {n} + 1), i -> substring(nq, i, {n})))")).alias("probe"))
-        own = names.where(F.length("probe") == n)
-        # probes first meet the catalog without the texts; the texts follow for real candidates only
-        hits = probes.join(own.select("probe", "nn", "e"), "probe").drop("probe")
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        return q.select(F.col("__key").alias(key), F.lit(None).cast("string").alias("entity_id"), F.lit(None).cast("string").alias("entity_name"), F.lit(None).cast("string").alias("entity_type")).limit(0)
-    real = found.join(q, "__key").where(F.contains(F.col("nq"), F.col("nn")))
+    # normalised text is ASCII, so bytes are characters and a gram is cut in constant time
+    names = names.withColumn("probe", F.expr(f"substring(cast(nn as binary), 1, {gram})"))
+    about = names.agg(F.coalesce(F.sum(F.length("nn") + 64), F.lit(0)).alias("bytes"), F.sort_array(F.collect_set(F.octet_length("probe"))).alias("sizes")).first()  # at most `gram` sizes
+    small = about["bytes"] <= CATALOG_BYTES
+    real = None
+    for n in about["sizes"]:
+        own = names.where(F.octet_length("probe") == n).select("probe", "nn", "e")
+        grams = F.explode(F.expr(f"transform(sequence(1, length(nq) - {n} + 1), i -> substring(cast(nq as binary), i, {n}))")).alias("probe")
+        long_enough = q.where(F.length("nq") >= n)
+        if small:  # one stage: texts are read, cut and verified where they lie
+            hits = long_enough.select("__key", "nq", grams).join(F.broadcast(own), "probe").where(F.contains(F.col("nq"), F.col("nn"))).select("__key", "nn", "e")
+        else:  # grams first meet the catalog without the texts, which follow for real candidates only
+            probes = long_enough.select("__key", grams).distinct().join(own, "probe").select("__key", "nn", "e")
+            hits = probes.join(q, "__key").where(F.contains(F.col("nq"), F.col("nn"))).select("__key", "nn", "e")
+        real = hits if real is None else real.unionByName(hits)
+    if real is None:
+        return q.select(F.col("__key").alias(key), *[F.lit(None).cast("string").alias(c) for c in ("entity_id", "entity_name", "entity_type")]).limit(0)
     best = real.groupBy("__key").agg(F.min_by("e", F.struct(-F.length("nn"), F.col("e.position"))).alias("e"))
     return best.select(F.col("__key").alias(key), "e.entity_id", "e.entity_name", "e.entity_type")
 
