@@ -28,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, mix, salted_join, small_batches, table, texts, word_hashes
+from .common import checked_broadcast, durable, mix, salted_join, small_batches, table, texts, word_hashes
 
-SKETCH_BITS = 18
+SMALL = 6
+SKETCH_BITS = 20
 SKETCH_PART = 12  # bits of a bucket's place in its part of the table
-SIGNATURE_BITS = 2048
+SIGNATURE_BITS = 1024
 _ODD = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
@@ -61,20 +62,20 @@ def _sketch(docs: DataFrame, k: int) -> np.ndarray:
     def count(batches):
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in small_batches(batches):
-            for _, raw in texts(batch.column(0)):
-                np.add.at(counts, (shingles(raw, k) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+            found = np.concatenate([shingles(raw, k) for _, raw in texts(batch.column(0))])
+            counts += np.bincount((found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
         if counts.any():
             rows = counts.reshape(parts, width)
-            yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([r.astype("<u4").tobytes() if r.max() < 2**32 else np.full(width, 2**32 - 1, "<u4").tobytes() for r in rows], pa.binary())], names=["part", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([r.astype("<u2" if r.max() < 1 << 16 else "<u8").tobytes() for r in rows], pa.binary())], names=["part", "counts"])
 
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width, np.int64)
         for batch in batches:
             for x in batch.column("counts").to_pylist():
-                total += np.frombuffer(x, "<u4")
+                total += np.frombuffer(x, "<u2" if len(x) == 2 * width else "<u8").astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.round(4 * np.log2(total + 1)).astype(np.uint8).tobytes()], pa.binary())], names=["part", "classes"])
 
-    got = docs.select("text").mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, classes binary").collect()  # 64 rows of 4 KB
+    got = docs.select("text").mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, classes binary").collect()  # 256 rows of 4 KB
     out = np.zeros((parts, width), np.uint8)
     for r in got:
         out[r["part"]] = np.frombuffer(r["classes"], np.uint8)
@@ -113,21 +114,59 @@ def shingle_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(build, "doc_id long, n long, set binary, prefix array<long>, signature binary")
 
 
-def _roots(parent: np.ndarray, x: int) -> int:
+def _roots(parent, x: int) -> int:
     while parent[x] != x:
         parent[x] = parent[parent[x]]
         x = parent[x]
     return x
 
 
-def _block_pairs(n: np.ndarray, pos: np.ndarray, sign: np.ndarray, side: np.ndarray, percent: int, comp: list | None, rows: int = 64):
-    """Pairs (i, j) of a block that pass all filters: a spanning forest of them, nearest first in each strip, or, given
-    components, every one between different components. `side`: 0 and 1 in a pair of chunks, 2 in a block of its own."""
+def _forest(pairs: list[tuple[int, int, int]], m: int, comp: list | None) -> list[tuple[int, int]]:
+    """Of (distance, x, y) with x < y: for each set the pair with its smallest partner, then what still connects, nearest first.
+
+    Places follow the sets' keys, so blocks with alike members hand on the same pairs. Given components, every pair
+    between different ones is handed on.
+    """
+    if comp is not None:
+        return [(x, y) for _, x, y in pairs if comp[x] != comp[y]]
+    parent, out, least = list(range(m)), [], {}
+    for _, x, y in pairs:
+        if x < least.get(y, m):
+            least[y] = x
+    for _, x, y in [(0, x, y) for y, x in least.items()] + sorted(pairs):
+        u, v = _roots(parent, x), _roots(parent, y)
+        if u != v:
+            parent[max(u, v)] = min(u, v)
+            out.append((x, y))
+    return out
+
+
+def _few_pairs(n: list, pos: list, sign: list, side: list, percent: int) -> list[tuple[int, int, int]]:
+    """_near_pairs for a handful of sets, without arrays."""
+    m, near = len(n), []
+    for x in range(m - 1):
+        for y in range(x + 1, m):
+            a, b = n[x], n[y]
+            if min(a, b) * 100 < max(a, b) * percent or (side[x] == side[y] != 2):
+                continue
+            need = -(-percent * (a + b) // (100 + percent))
+            if 1 + min(pos[x], pos[y]) + min(a - 1 - pos[x], b - 1 - pos[y]) < need:
+                continue
+            far = (sign[x] ^ sign[y]).bit_count()
+            if far <= a + b - 2 * need:
+                near.append((far, x, y))
+    return near
+
+
+def _block_pairs(n: np.ndarray, pos: np.ndarray, sign: np.ndarray, side: np.ndarray, percent: int, comp: list | None, rows: int = 64) -> list[tuple[int, int]]:
+    """Pairs of a block, in the order of its sets' keys, that pass all filters and `_forest`. `side`: 0 and 1 in a pair of
+    chunks, 2 in a block of its own."""
     m = len(n)
-    parent = np.arange(m)
+    if m <= SMALL:
+        return _forest(_few_pairs(n.tolist(), pos.tolist(), [int.from_bytes(x.tobytes()) for x in sign], side.tolist(), percent), m, comp)
     order = np.argsort(n, kind="stable")
     n, pos, sign, side = n[order], pos[order], sign[order], side[order]
-    out = []
+    least, kept = np.full(m, m), []
     for at in range(0, m - 1, rows):
         i = np.arange(at, min(m, at + rows))
         # the length filter bounds how far a strip reaches
@@ -141,22 +180,27 @@ def _block_pairs(n: np.ndarray, pos: np.ndarray, sign: np.ndarray, side: np.ndar
         p, q = np.nonzero(ok)
         if not len(p):
             continue
-        far = np.empty(len(p), np.int64)
+        far = np.empty(len(p), np.int32)
         for s in range(0, len(p), 8192):
             far[s : s + 8192] = np.bitwise_count(sign[i[p[s : s + 8192]]] ^ sign[j[q[s : s + 8192]]]).sum(1)
         near = far <= a[p, 0] + b[0, q] - 2 * need[p, q]
-        p, q, far = i[p[near]], j[q[near]], far[near]
-        for e in np.argsort(far, kind="stable"):
-            x, y = order[p[e]], order[q[e]]
-            if comp is not None:
-                if comp[x] != comp[y]:
-                    out.append((x, y))
-                continue
-            u, v = _roots(parent, x), _roots(parent, y)
-            if u != v:
-                parent[max(u, v)] = min(u, v)
-                out.append((x, y))
-    return out
+        x, y = order[i[p[near]]], order[j[q[near]]]
+        x, y = np.minimum(x, y), np.maximum(x, y)
+        np.minimum.at(least, y, x)
+        kept.append((far[near], x.astype(np.int32), y.astype(np.int32)))
+    if not kept:
+        return []
+    far, x, y = (np.concatenate(c) for c in zip(*kept, strict=True))
+    if comp is None:  # pairs that the smallest partners connect already need no second look
+        label = np.minimum(np.arange(m), least)
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label = up
+        open_ = (label[x] != label[y]) | (least[y] == x)
+        far, x, y = far[open_], x[open_], y[open_]
+    return _forest(list(zip(far.tolist(), x.tolist(), y.tolist(), strict=True)), m, comp)
 
 
 def _pairs(blocks: DataFrame, percent: int, chunk: int, everything: bool) -> DataFrame:
@@ -201,13 +245,21 @@ def _pairs(blocks: DataFrame, percent: int, chunk: int, everything: bool) -> Dat
         if made:
             yield batch_of(made)
 
-    return dealt.select(names).repartition("token", "c0", "c1").sortWithinPartitions("token", "c0", "c1").mapInArrow(join, "token long, a binary, b binary")
+    return dealt.select(names).repartition("token", "c0", "c1").sortWithinPartitions("token", "c0", "c1", "set").mapInArrow(join, "token long, a binary, b binary")
+
+
+def _texts_of(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """set, text: the text of the first document of each set in `pairs`.
+
+    Few sets are sent to the scan, so other texts are not shuffled; many meet the texts in a shuffle.
+    """
+    ends = durable(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(reps.select("set", "doc_id"), "set"))
+    own = docs.select("doc_id", "text").where(F.col("text").isNotNull())
+    return durable(own.join(checked_broadcast(ends), "doc_id").groupBy("set").agg(F.min("text").alias("text")))
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
-    """a, b, linked for distinct pairs: exact counts on the texts of the sets' first documents."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
-    held = durable(ends.join(reps.select("set", "doc_id"), "set").join(docs.select("doc_id", "text").where(F.col("text").isNotNull()), "doc_id").groupBy("set").agg(F.min("text").alias("text")))
+def _verify(pairs: DataFrame, held: DataFrame, words: int, percent: int) -> DataFrame:
+    """a, b, linked for distinct pairs: exact counts on the texts of the sets."""
 
     def count(batches):
         last: tuple = (None, None)
@@ -247,29 +299,43 @@ def components(links: DataFrame) -> DataFrame:
         labels = labels.select("set", "comp")
 
 
-def near_copies(docs: DataFrame, words: int = 5, percent: int = 80, chunk: int = 2048) -> DataFrame:
+def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are in different components."""
+    ends = pairs.join(comp.withColumnsRenamed({"set": "a", "comp": "ca"}), "a", "left").join(comp.withColumnsRenamed({"set": "b", "comp": "cb"}), "b", "left")
+    return ends.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
+def near_copies(docs: DataFrame, words: int = 5, percent: int = 80, chunk: int = 1024) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of `docs` (doc_id, text): one component links 100 |x & y| >= percent |x | y|."""
     sets = durable(shingle_sets(docs, words, percent))
     full = sets.where(F.col("set").isNotNull())
     reps = durable(full.groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.any_value("signature").alias("signature")))
-    postings = reps.select("set", F.col("n"), F.posexplode("prefix").alias("pos", "token"))
+    postings = reps.select("set", F.posexplode("prefix").alias("pos", "token"))
     shared = postings.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
     # one row a token against its sets: Spark splits a token that most sets share
     blocks = durable(postings.join(shared, "token"))
-    signed = blocks.join(reps.select("set", "signature"), "set")
-
-    pairs = durable(_pairs(signed, percent, chunk, everything=False))
-    told = durable(_verify(pairs.select("a", "b").distinct(), docs, reps, words, percent))
+    about = reps.select("set", "n", "signature")
+
+    pairs = durable(_pairs(blocks.join(about, "set"), percent, chunk, everything=False))
+    held = _texts_of(pairs, docs, reps)
+    # first each set's smallest partner of all blocks; of the other pairs those between sets that this leaves apart
+    unique = durable(pairs.select("a", "b").distinct())
+    told = durable(_verify(unique.groupBy("b").agg(F.min("a").alias("a")), held, words, percent))
+    comp = components(told.where("linked").select("a", "b"))
+    left = durable(_apart(unique.join(told.select("a", "b"), ["a", "b"], "left_anti"), comp))
+    if not left.isEmpty():
+        told = durable(told.unionByName(_verify(left, held, words, percent)))
+        comp = components(told.where("linked").select("a", "b"))
     links = told.where("linked").select("a", "b")
-    comp = components(links)
-    failed = told.where("not linked").select("a", "b")
+    # a failed pair matters only if no other links connect its ends
+    failed = _apart(told.where("not linked").select("a", "b"), comp)
     again = durable(pairs.join(failed, ["a", "b"], "left_semi").select("token").distinct())
     if not again.isEmpty():
-        open_blocks = signed.join(again, "token", "left_semi").join(comp, "set", "left").withColumn("comp", F.coalesce("comp", "set"))
-        rest = _pairs(open_blocks, percent, chunk, everything=True).select("a", "b").distinct().join(told.select("a", "b"), ["a", "b"], "left_anti")
-        rest = durable(rest)
+        open_blocks = blocks.join(checked_broadcast(again), "token", "left_semi").join(about, "set").join(comp, "set", "left").withColumn("comp", F.coalesce("comp", "set"))
+        rest = durable(_pairs(open_blocks, percent, chunk, everything=True).select("a", "b").distinct().join(told.select("a", "b"), ["a", "b"], "left_anti"))
         if not rest.isEmpty():
-            more = durable(_verify(rest, docs, reps, words, percent)).where("linked").select("a", "b")
+            # a set that passes the filters in a block is in that block's forest, so its text is held already
+            more = durable(_verify(rest, held, words, percent)).where("linked").select("a", "b")
             comp = components(links.unionByName(more))
     member = reps.select("set", "doc_id").join(comp, "set", "left").withColumn("comp", F.coalesce("comp", "set"))
     smallest = member.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
@@ -278,10 +344,15 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 80, chunk: int =
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The row of each component with the smallest doc_id; of rows that repeat that id, one stays. Null ids stay."""
-    found = near_copies(docs, words, percent).select("doc_id", "component_id").where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull())
-    return named.join(found, "doc_id", "left_anti").dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    """The document of each component with the smallest doc_id; of rows that repeat it whole, one stays. Null ids stay."""
+    found = durable(near_copies(docs, words, percent).where(F.col("doc_id").isNotNull()).select("doc_id", "component_id"))
+    gone = durable(found.where("doc_id != component_id").select("doc_id").distinct())
+    kept = docs.join(checked_broadcast(gone), "doc_id", "left_anti")
+    twice = durable(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if twice.isEmpty():
+        return kept
+    twice = checked_broadcast(twice)
+    return kept.join(twice, "doc_id", "left_anti").unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
