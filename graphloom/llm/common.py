@@ -21,18 +21,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def durable(df: DataFrame) -> DataFrame:
     """`df` written to the shared checkpoint folder, its lineage cut.
 
     The folder is the one that the session names in spark.checkpoint.dir. Only where that is unset, as in
-    tests on one machine, a temporary folder is set.
+    tests on one machine, a temporary folder is set. Shuffle files of the steps before are deleted when it is written,
+    not when the driver happens to collect its garbage.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="graphloom-checkpoint-"))
-    return df.checkpoint(eager=True)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(_CLEANUP, before)
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: str, salts: int = 16, how: str = "left") -> DataFrame:

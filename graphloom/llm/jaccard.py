@@ -10,7 +10,7 @@
 5. A block hands on a spanning forest of its surviving pairs, not all pairs: as many rows as it has sets. Pairs are counted
    exactly on the texts, once each. If a pair of a forest fails, its block is read again and hands on every surviving pair
    between sets that are not connected yet. So no link that would connect two components is lost.
-6. Components by hooking and pointer jumping over the links, all in tables.
+6. Components of the links: a bounded number of links in one task, more by hooking and pointer jumping in tables.
 
 Defined results: null and empty texts, and texts without words, have 0 shingles and are linked with nothing; texts with
 fewer words than a shingle count as one shingle; a document with a null id is a component of its own with a null id, unless
@@ -274,17 +274,46 @@ def _verify(pairs: DataFrame, held: DataFrame, words: int, percent: int) -> Data
                 linked.append(100 * both >= percent * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
-    # pairs first meet the text of b, by b, then that of a: a set with many pairs is split by AQE's skew join
-    first = pairs.select("a", "b").join(held.select(F.col("set").alias("b"), F.col("text").alias("tb")), "b")
-    return first.join(held.select(F.col("set").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb").mapInArrow(count, "a binary, b binary, linked boolean")
+    # few pairs are sent to the texts, which then travel once for each pair; many meet them in a shuffle
+    known = checked_broadcast(pairs.select("a", "b"))
+    first = held.select(F.col("set").alias("a"), F.col("text").alias("ta")).join(known, "a")
+    second = held.select(F.col("set").alias("b"), F.col("text").alias("tb")).join(known, "b")
+    return first.join(second, ["a", "b"]).select("a", "b", "ta", "tb").mapInArrow(count, "a binary, b binary, linked boolean")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """set, comp (the smallest set of its component) of all ends of `links` (a, b); rounds grow with the logarithm of a
-    component's length. Each round hooks on the smallest neighbouring label and jumps along it; tables only."""
-    edges = links.select("a", "b").where("a != b").distinct()
-    both = edges.select(F.col("a").alias("set"), F.col("b").alias("to")).unionByName(edges.select(F.col("b").alias("set"), F.col("a").alias("to")))
-    both = durable(both)
+def components(links: DataFrame, in_one_task: int = 500_000) -> DataFrame:
+    """set, comp (the smallest set of its component) of all ends of `links` (a, b).
+
+    Up to `in_one_task` links, some 20 MB, are joined by one task; more by `_components_in_tables`.
+    """
+    edges = durable(links.select("a", "b").where("a != b").distinct())
+    if edges.limit(in_one_task + 1).count() > in_one_task:
+        return _components_in_tables(edges)
+
+    def join(batches):
+        parent: dict[bytes, bytes] = {}
+
+        def root(x: bytes) -> bytes:
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                u, v = sorted((root(a), root(b)))
+                parent[v] = u
+        if parent:
+            names = list(parent)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([root(x) for x in names], pa.binary())], names=["set", "comp"])
+
+    return durable(edges.repartition(1).mapInArrow(join, "set binary, comp binary"))
+
+
+def _components_in_tables(edges: DataFrame) -> DataFrame:
+    """`components` of any number of distinct edges; rounds grow with the logarithm of a component's length. Each round
+    hooks on the smallest neighbouring label and jumps along it."""
+    both = durable(edges.select(F.col("a").alias("set"), F.col("b").alias("to")).unionByName(edges.select(F.col("b").alias("set"), F.col("a").alias("to"))))
     labels = durable(both.groupBy("set").agg(F.min("to").alias("m")).select("set", F.least("set", "m").alias("comp")))
     while True:
         # the smallest label among neighbours, offered both to the set and to the label it has now
@@ -307,26 +336,23 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
 
 def near_copies(docs: DataFrame, words: int = 5, percent: int = 80, chunk: int = 1024) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of `docs` (doc_id, text): one component links 100 |x & y| >= percent |x | y|."""
-    sets = durable(shingle_sets(docs, words, percent))
-    full = sets.where(F.col("set").isNotNull())
+    wide = durable(shingle_sets(docs, words, percent))
+    full = wide.where(F.col("set").isNotNull())
     reps = durable(full.groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.any_value("signature").alias("signature")))
+    sets = durable(wide.select("doc_id", "n", "set"))
+    del wide, full  # the prefixes go with them
     postings = reps.select("set", F.posexplode("prefix").alias("pos", "token"))
     shared = postings.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
     # one row a token against its sets: Spark splits a token that most sets share
     blocks = durable(postings.join(shared, "token"))
+    reps = durable(reps.select("set", "doc_id", "n", "signature"))
     about = reps.select("set", "n", "signature")
 
     pairs = durable(_pairs(blocks.join(about, "set"), percent, chunk, everything=False))
     held = _texts_of(pairs, docs, reps)
-    # first each set's smallest partner of all blocks; of the other pairs those between sets that this leaves apart
-    unique = durable(pairs.select("a", "b").distinct())
-    told = durable(_verify(unique.groupBy("b").agg(F.min("a").alias("a")), held, words, percent))
-    comp = components(told.where("linked").select("a", "b"))
-    left = durable(_apart(unique.join(told.select("a", "b"), ["a", "b"], "left_anti"), comp))
-    if not left.isEmpty():
-        told = durable(told.unionByName(_verify(left, held, words, percent)))
-        comp = components(told.where("linked").select("a", "b"))
+    told = durable(_verify(durable(pairs.select("a", "b").distinct()), held, words, percent))
     links = told.where("linked").select("a", "b")
+    comp = components(links)
     # a failed pair matters only if no other links connect its ends
     failed = _apart(told.where("not linked").select("a", "b"), comp)
     again = durable(pairs.join(failed, ["a", "b"], "left_semi").select("token").distinct())
