@@ -73,6 +73,14 @@ def test_jaccard(spark, words, percent):
     assert kept == set(comp)
 
 
+def test_components_in_tables(spark):
+    chain = [(i, i + 1) for i in range(40)] + [(100 + i, 100) for i in range(1, 9)] + [(200, 201), (201, 200), (7, 7)]
+    links = spark.createDataFrame([(bytes([a]), bytes([b])) for a, b in chain if max(a, b) < 256], "a binary, b binary")
+    for limit in (1000, 3):
+        got = {r["set"][0]: r["comp"][0] for r in jaccard.components(links, in_one_task=limit).collect()}
+        assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(9)}, 200: 200, 201: 200}
+
+
 def test_jaccard_edges(docs, none, odd):
     got = jaccard.near_copies(docs).collect()
     assert len(got) == len(rows())
