@@ -525,7 +525,7 @@ ASKED = [(1, "Where is NATION_3?", "nation/3", ["region/3"]), (2, "Tell me about
 
 def _asked(spark, d):
     questions = values(spark, "question_id int, question string, expected_entity_id string, expected_facts array<string>", ASKED)
-    t = star.triples(spark, d, ("nation", "region"), ("IN_REGION",))
+    t = star.triples(spark, d, ("nation", "region"), ("IN_REGION",)).persist()  # patterns read it once for each predicate
     n, r = table(spark, d, "nation"), table(spark, d, "region")
     key = lambda c, p: F.concat(F.lit(p), F.col(c).cast("string"))
     catalog = retrieval.build_catalog([(n.withColumn("id", key("n_nationkey", "nation/")), "id", "n_name", "Nation"), (r.withColumn("id", key("r_regionkey", "region/")), "id", "r_name", "Region")])
