@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+class Scratch:
+    """Tables of one operator's steps, as Parquet in the shared checkpoint folder, each deleted as soon as it is done with.
+
+    A checkpoint stays until the driver collects its garbage; large steps are better here.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{checkpoint_folder(spark)}/graphloom-{uuid.uuid4().hex}"
+
+    def table(self, name: str, df: DataFrame) -> DataFrame:
+        schema = df.schema
+        with _cleanup(self.spark):
+            df.write.parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+
+    def drop(self, name: str = "") -> None:
+        """Delete one table, or all."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}".rstrip("/"))
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's own checkpoint folder; where none is named, as in tests on one machine, a temporary one is set."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="graphloom-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+@contextlib.contextmanager
+def _cleanup(spark: SparkSession):
+    """Within, the shuffle files of an execution are deleted when it ends, not when the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -31,17 +72,9 @@ def durable(df: DataFrame) -> DataFrame:
     tests on one machine, a temporary folder is set. Shuffle files of the steps before are deleted when it is written,
     not when the driver happens to collect its garbage.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="graphloom-checkpoint-"))
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    checkpoint_folder(df.sparkSession)
+    with _cleanup(df.sparkSession):
         return df.checkpoint(eager=True)
-    finally:
-        spark.conf.set(_CLEANUP, before)
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: str, salts: int = 16, how: str = "left") -> DataFrame:

@@ -21,6 +21,7 @@ by a 64-bit hash; very long texts are hashed in parts of bounded size.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, durable, mix, salted_join, small_batches, table, texts, word_hashes
+from .common import Scratch, checked_broadcast, durable, mix, salted_join, small_batches, table, texts, word_hashes
 
 SMALL = 6
 SKETCH_BITS = 20
@@ -249,13 +250,23 @@ def _pairs(blocks: DataFrame, percent: int, chunk: int, everything: bool) -> Dat
 
 
 def _texts_of(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """set, text: the text of the first document of each set in `pairs`.
+    """set, text: the text of the first document of each set in `pairs`, compressed.
 
     Few sets are sent to the scan, so other texts are not shuffled; many meet the texts in a shuffle.
     """
     ends = durable(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(reps.select("set", "doc_id"), "set"))
     own = docs.select("doc_id", "text").where(F.col("text").isNotNull())
-    return durable(own.join(checked_broadcast(ends), "doc_id").groupBy("set").agg(F.min("text").alias("text")))
+
+    def pack(batches):
+        for batch in small_batches(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.compress(raw.tobytes()) for _, raw in texts(batch.column(1))], pa.binary())], names=["set", "text"])
+
+    packed = own.join(checked_broadcast(ends), "doc_id").select("set", F.col("text").cast("string")).mapInArrow(pack, "set binary, text binary")
+    return packed.groupBy("set").agg(F.min("text").alias("text"))  # rows that repeat an id
+
+
+def _unpacked(text: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(text), np.uint8)
 
 
 def _verify(pairs: DataFrame, held: DataFrame, words: int, percent: int) -> DataFrame:
@@ -264,12 +275,11 @@ def _verify(pairs: DataFrame, held: DataFrame, words: int, percent: int) -> Data
     def count(batches):
         last: tuple = (None, None)
         for batch in small_batches(batches):
-            keys, (ta, tb) = batch.column("a").to_pylist(), (list(texts(batch.column(c))) for c in ("ta", "tb"))
             linked = []
-            for key, (_, x), (_, y) in zip(keys, ta, tb, strict=True):
+            for key, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "ta", "tb")), strict=True):
                 if last[0] != key:
-                    last = key, shingles(x, words)
-                p, q = last[1], shingles(y, words)
+                    last = key, shingles(_unpacked(x), words)
+                p, q = last[1], shingles(_unpacked(y), words)
                 both = len(p) + len(q) - len(np.union1d(p, q))
                 linked.append(100 * both >= percent * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
@@ -334,22 +344,16 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return ends.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def near_copies(docs: DataFrame, words: int = 5, percent: int = 80, chunk: int = 1024) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of `docs` (doc_id, text): one component links 100 |x & y| >= percent |x | y|."""
-    wide = durable(shingle_sets(docs, words, percent))
-    full = wide.where(F.col("set").isNotNull())
-    reps = durable(full.groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.any_value("signature").alias("signature")))
-    sets = durable(wide.select("doc_id", "n", "set"))
-    del wide, full  # the prefixes go with them
+def _linked(steps: Scratch, reps: DataFrame, docs: DataFrame, words: int, percent: int, chunk: int) -> DataFrame:
+    """set, comp of the sets that have links."""
     postings = reps.select("set", F.posexplode("prefix").alias("pos", "token"))
     shared = postings.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
     # one row a token against its sets: Spark splits a token that most sets share
-    blocks = durable(postings.join(shared, "token"))
-    reps = durable(reps.select("set", "doc_id", "n", "signature"))
+    blocks = steps.table("blocks", postings.join(shared, "token"))
     about = reps.select("set", "n", "signature")
 
-    pairs = durable(_pairs(blocks.join(about, "set"), percent, chunk, everything=False))
-    held = _texts_of(pairs, docs, reps)
+    pairs = steps.table("pairs", _pairs(blocks.join(about, "set"), percent, chunk, everything=False))
+    held = steps.table("held", _texts_of(pairs, docs, reps))
     told = durable(_verify(durable(pairs.select("a", "b").distinct()), held, words, percent))
     links = told.where("linked").select("a", "b")
     comp = components(links)
@@ -363,7 +367,22 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 80, chunk: int =
             # a set that passes the filters in a block is in that block's forest, so its text is held already
             more = durable(_verify(rest, held, words, percent)).where("linked").select("a", "b")
             comp = components(links.unionByName(more))
-    member = reps.select("set", "doc_id").join(comp, "set", "left").withColumn("comp", F.coalesce("comp", "set"))
+    return comp
+
+
+def near_copies(docs: DataFrame, words: int = 5, percent: int = 80, chunk: int = 1024) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of `docs` (doc_id, text): one component links 100 |x & y| >= percent |x | y|."""
+    steps = Scratch(docs.sparkSession)
+    try:
+        wide = steps.table("wide", shingle_sets(docs, words, percent))
+        reps = steps.table("reps", wide.where(F.col("set").isNotNull()).groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.any_value("signature").alias("signature")))
+        sets = durable(wide.select("doc_id", "n", "set"))
+        steps.drop("wide")
+        firsts = durable(reps.select("set", "doc_id"))
+        comp = _linked(steps, reps, docs, words, percent, chunk)
+    finally:
+        steps.drop()
+    member = firsts.join(comp, "set", "left").withColumn("comp", F.coalesce("comp", "set"))
     smallest = member.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     by_set = member.select("set", "comp").join(smallest, "comp").select("set", "component_id")
     return salted_join(sets.select("doc_id", F.col("n").alias("n_shingles"), "set"), by_set, "set").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
