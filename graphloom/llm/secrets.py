@@ -4,7 +4,8 @@ Strong parts (assignments to secret names, access key identifiers, long hex runs
 parts (user or client identifiers, endpoints, random-looking keys) say little alone: they are joined as intervals with
 complementary parts in the same scope, and reported only if linked. A scope is a stretch of text between blank lines; two
 parts link if no more than `reach` code points lie between them. Complementary are identifier and secret, endpoint and
-secret, and an endpoint or identifier with a random-looking key, which then counts as a secret.
+secret, and an endpoint or identifier with a random-looking key, which then counts as a secret; a key that is a value in
+an endpoint's own query links with it.
 
 Texts are scanned whole. Every pattern takes time linear in the text, the join sorts a document's own parts and sweeps them.
 
@@ -35,7 +36,7 @@ _HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so shorter ones fail al
 _IDENT = re.compile(r"""(?<![A-Za-z0-9])(?:user(?:[_-]?(?:name|id))?|login|client[_-]?id|access[_-]?key(?:[_-]?id)?|account[_-]?(?:id|name|key)|tenant[_-]?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@+/_.-]{3,})""", re.I | re.A)
 _ENDPOINT = re.compile(r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\x00-\x20\"'<>\x7f]{3,}")
 _HOST = re.compile(r"""(?<![A-Za-z0-9])(?:host(?:name)?|server|endpoint|url)["']?\x20*[:=]\x20*["']?([A-Za-z0-9.-]{1,253}(?::[0-9]{1,5})?)""", re.I | re.A)
-_KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}")
+_KEY = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?:={1,2}+(?![A-Za-z0-9+/_-]))?")  # a "=" before a value is no padding
 _BLANK = re.compile(r"\n[\x20\t\r]*\n")
 
 
@@ -98,6 +99,13 @@ def linked_spans(text: str, strong: list[tuple[str, int, int]], reach: int = 300
             after = bisect_right(first, high) > bisect_left(first, s[2])
             if (before or after) and free(s):
                 found.append(s)
+    # a key as a value in the query of an endpoint lies within its complement
+    inner = [s[1] for s in keys]
+    for e in endpoints:
+        query = text.find("?", e[1], e[2])
+        for s in keys[bisect_left(inner, query) : bisect_left(inner, e[2])] if query >= 0 else ():
+            if s[2] <= e[2] and text[s[1] - 1] == "=":
+                found += [x for x in (e, s) if free(x)]
     return list(dict.fromkeys(found))
 
 
