@@ -7,7 +7,9 @@ later without one, and a part of an address found by a pattern elsewhere too. Lo
 the whole document's graph. Weights are learned by pseudo-likelihood on sentences made by a rule in this module.
 
 Tokens that no cue, pattern or repetition touches can only be O, so the graph holds the others alone; neighbours outside
-act as observed O. Repeated forms are linked from each occurrence to the next, so edges grow with the tokens.
+act as observed O. Occurrences of a form are linked through
+one node, which tells each of them what the other with the strongest evidence says: every one sees the cue, however many
+stand between, and edges grow with the tokens.
 
 Defined results: a null or empty text has no spans; spans count code points, ends are exclusive; spans of the field that
 overlap base spans are dropped; repeated rows are read each for itself; an empty table gives no rows; very long texts are
@@ -225,35 +227,65 @@ def weights() -> dict:
     return _WEIGHTS
 
 
-def marginals(unary: np.ndarray, edges: list[tuple[int, int, int]], w: dict, rounds: int = 12, damp: float = 0.3) -> np.ndarray:
-    """Label probabilities by loopy sum-product in the log domain. Edges: (i, j, 0 for chain i -> j, 1 for skip)."""
-    if not edges:
-        e = np.exp(unary - unary.max(1, keepdims=True))
-        return e / e.sum(1, keepdims=True)
+def marginals(unary: np.ndarray, edges: list[tuple[int, int, int]], w: dict, rounds: int | None = None, damp: float = 0.3, forms: np.ndarray | None = None) -> np.ndarray:
+    """Label probabilities by loopy sum-product in the log domain. Edges: (i, j, 0 for chain i -> j, 1 for skip).
+
+    `forms` numbers the tokens of a form alike, from 0 on, each at least twice; -1 is none. Without `rounds`, messages run
+    until they settle, with a bound that grows with the longest chain.
+    """
     k = unary.shape[1]
-    i, j, kind = (np.asarray(c) for c in zip(*edges, strict=True))
+    i, j, kind = (np.asarray(c, np.int64) for c in zip(*edges, strict=True)) if edges else np.zeros((3, 0), np.int64)
     pot = np.where(kind[:, None, None] == 0, w["chain"], w["skip"])
     src, dst = np.concatenate([i, j]), np.concatenate([j, i])
     pots = np.concatenate([pot, pot.transpose(0, 2, 1)])
     back = np.concatenate([np.arange(len(i)) + len(i), np.arange(len(i))])
     msg = np.zeros((len(src), k))
-    for _ in range(rounds):
-        belief = unary.copy()
-        np.add.at(belief, dst, msg)
+    own = np.flatnonzero(forms >= 0) if forms is not None else np.zeros(0, np.int64)
+    told = np.zeros((len(own), k))
+    if rounds is None:
+        linked = np.zeros(len(unary) + 1, bool)
+        linked[j[(kind == 0) & (j == i + 1)]] = True
+        gaps = np.flatnonzero(~linked)
+        rounds = 100 + 2 * int(np.diff(gaps).max(initial=1))
+    for step in range(rounds if len(src) or len(own) else 0):
+        heard = unary.copy()
+        np.add.at(heard, dst, msg)
+        belief = heard.copy()
+        belief[own] += told
+        hold = damp if step < 60 else 0.7  # what still swings is held back more
         out = belief[src] - msg[back]
         z = out[:, :, None] + pots
         top = z.max(1)
         new = top + np.log(np.exp(z - top[:, None]).sum(1))
         new -= new.max(1, keepdims=True)
-        msg, change = damp * msg + (1 - damp) * new, np.abs(new - msg).max()
+        change = np.abs(new - msg).max(initial=0)
+        msg = hold * msg + (1 - hold) * new
+        if len(own):
+            said = witnesses(heard[own], forms[own], w["skip"])
+            change = max(change, np.abs(said - told).max())
+            told = hold * told + (1 - hold) * said
         if change < 1e-4:
             break
     belief = unary.copy()
     np.add.at(belief, dst, msg)
+    belief[own] += told
     e = np.exp(belief - belief.max(1, keepdims=True))
     return e / e.sum(1, keepdims=True)
 
 
+def witnesses(heard: np.ndarray, forms: np.ndarray, skip: np.ndarray) -> np.ndarray:
+    """What the node of its form tells each token: the skip message of the other token that speaks most for a label but O."""
+    z = heard[:, :, None] + skip
+    top = z.max(1)
+    said = top + np.log(np.exp(z - top[:, None]).sum(1))
+    said -= said.max(1, keepdims=True)
+    order = np.lexsort((-(said[:, 1:].max(1) - said[:, 0]), forms))
+    first = np.searchsorted(forms[order], forms)
+    best = order[first]
+    best = np.where(best == np.arange(len(forms)), order[first + 1], best)
+    return said[best]
+
+
 def field_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Spans that the field adds to the base spans of one document."""
     cues = [m.start() for m in _CUE.finditer(text)]
@@ -287,7 +319,7 @@ def field_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
     nodes = sorted(live)
     index = {t: k for k, t in enumerate(nodes)}
     unary = np.zeros((len(nodes), len(LABELS)))
-    edges, last = [], {}
+    edges, alike = [], {}
     for k, t in enumerate(nodes):
         if t in observed:
             unary[k] = -50.0
@@ -302,10 +334,11 @@ def field_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
             unary[k] += w["chain"][:, 0]
         f = form_key(tokens[t])
         if f:
-            if f in last:
-                edges.append((last[f], k, 1))
-            last[f] = k
-    label = marginals(unary, edges, w).argmax(1)
+            alike.setdefault(f, []).append(k)
+    groups = np.full(len(nodes), -1)
+    for n, own in enumerate(x for x in alike.values() if len(x) > 1):
+        groups[own] = n
+    label = marginals(unary, edges, w, forms=groups).argmax(1)
     out: list[tuple[str, int, int]] = []
     for k, t in enumerate(nodes):
         if not label[k] or t in observed:

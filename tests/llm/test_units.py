@@ -95,6 +95,20 @@ def test_personal_field():
     assert len(personal.all_spans("Name: Anna\n" + "word " * 50_000 + "Anna")[1]) == 2
 
 
+def test_a_cue_reaches_every_repeat():
+    text = "Then Mr. Berger went. " + "Later old Berger said so. " * 50
+    assert len(personal.all_spans(text)[1]) == 51
+    text = "The account: 445566778 was used. " + "then 445566778 came by. " * 50
+    assert len(personal.all_spans(text)[1]) == 51
+    text = "then 445566778 came by. " * 50 + "The account: 445566778 was used. "
+    assert len(personal.all_spans(text)[1]) == 51
+    rng = np.random.default_rng(4)
+    w, unary = {"chain": np.eye(3) * 4, "skip": np.eye(3)}, rng.normal(size=(300, 3)) * 0.01  # evidence at one end of a long chain
+    unary[0] = 30, 0, 0
+    edges = [(i, i + 1, 0) for i in range(299)]
+    assert np.allclose(personal.marginals(unary, edges, w), personal.marginals(unary, edges, w, rounds=5000), atol=1e-3)
+
+
 def test_messages_agree_with_exact_marginals():
     rng = np.random.default_rng(1)
     w = {"chain": rng.normal(size=(3, 3)), "skip": np.eye(3) * 1.5}
