@@ -6,8 +6,8 @@ between tokens with the same or a similar form wherever they stand, so that a na
 later without one, and a part of an address found by a pattern elsewhere too. Loopy sum-product messages, damped, run over
 the whole document's graph. Weights are learned by pseudo-likelihood on sentences made by a rule in this module.
 
-Tokens that no cue, pattern or repetition touches can only be O, so the graph holds the others alone; neighbours outside
-act as observed O. Occurrences of a form are linked through
+The graph holds every token in three places of a cue, found by a pattern, with a shape that has weight for another label
+than O, or of the same form as one of these; neighbours outside act as observed O. Occurrences of a form are linked through
 one node, which tells each of them what the other with the strongest evidence says: every one sees the cue, however many
 stand between, and edges grow with the tokens.
 
@@ -86,6 +86,7 @@ ID_CUES = frozenset("ssn iban passport account acct konto kontonummer compte cue
 CONTACT_CUES = frozenset("email e-mail mail phone tel telephone telefon teléfono téléphone mobile handy fax call card kreditkarte ip".split())
 _CUE = re.compile(r"(?<![^\W_])(?:" + "|".join(sorted(map(re.escape, NAME_CUES | ID_CUES | CONTACT_CUES), key=len, reverse=True)) + r")(?![^\W_])", re.I)
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
+_MARKED = re.compile(r"[\d@][^\x20\x09-\x0D]*")
 _TRIM = "\"'.,:;!?()[]{}<>*#"
 N_FEATURES = 20
 
@@ -132,7 +133,7 @@ def features(tokens: list[str], i: int) -> list[int]:
 
 
 def _made_sentences(n: int = 700, seed: int = 23) -> list[tuple[list[str], list[int], list[tuple[int, int]]]]:
-    """Labelled token lists and their skip edges, by rule: syllable words, cues, names, numbers, repeats without a cue."""
+    """Labelled token lists and their skip edges, by rule: syllable words, cues, fillers, names, numbers with and without a cue, repeats without a cue."""
     rng = np.random.default_rng(seed)
     syllables = "an ther ing on en tion ed ha re st ou nd le ment que ai ver ge ung heit ci os mar lo ka ri ben sol".split()
     word = lambda k=3: "".join(rng.choice(syllables, rng.integers(1, k + 1)))
@@ -143,6 +144,13 @@ def _made_sentences(n: int = 700, seed: int = 23) -> list[tuple[list[str], list[
         d = "".join(map(str, rng.integers(0, 10, rng.integers(6, 13))))
         return d if form == 0 else f"{d[:3]}-{d[3:5]}-{d[5:]}" if form == 1 else rng.choice(["DE", "FR", "ES", "GB"]) + d if form == 2 else d[:4] + rng.choice(list("ABCXYZ")) + d[4:]
 
+    def plain():
+        """Numbers that are nobody's: counts, dates, words with a digit."""
+        form = rng.integers(4)
+        day = f"{rng.integers(1900, 2040)}-{rng.integers(1, 13):02}-{rng.integers(1, 29):02}"
+        return number() if form == 0 else f"{rng.integers(1, 999)},{rng.integers(100, 999)},{rng.integers(100, 999)}" if form == 1 else day if form == 2 else word(1).upper()[:2] + str(rng.integers(1, 3000)) if rng.random() < 0.5 else str(rng.integers(1, 100)) + word(1)
+
+    fillers = "number no nr is was are nummer number: numéro número of the ist est es lautet".split()
     out = []
     for _ in range(n):
         tokens, labels = [], []
@@ -151,7 +159,7 @@ def _made_sentences(n: int = 700, seed: int = 23) -> list[tuple[list[str], list[
             tokens.extend(words)
             labels.extend([label] * len(words))
 
-        background = lambda: put([w if rng.random() > 0.15 else w.capitalize() if rng.random() > 0.2 else str(rng.integers(1, 3000)) for w in (word() for _ in range(rng.integers(3, 9)))], 0)  # noqa: B023, E731
+        background = lambda: put([w if rng.random() > 0.15 else w.capitalize() if rng.random() > 0.2 else str(rng.integers(1, 3000)) if rng.random() < 0.5 else plain() for w in (word() for _ in range(rng.integers(3, 9)))], 0)  # noqa: B023, E731
         background()
         for _ in range(rng.integers(0, 3)):
             label = int(rng.integers(1, 4))
@@ -162,6 +170,8 @@ def _made_sentences(n: int = 700, seed: int = 23) -> list[tuple[list[str], list[
                 continue
             entity = [word(2).capitalize() + "x" for _ in range(rng.integers(1, 3))] if label == 1 else [number()] if label == 2 else [word(2) + f".{rng.integers(10, 99)}@mail.example.org" if rng.random() < 0.4 else number()]
             put([(cue.capitalize() if rng.random() < 0.6 else cue) + str(rng.choice(["", ":", "."]))], 0)
+            if rng.random() < 0.4:
+                put([str(f) for f in rng.choice(fillers, rng.integers(1, 3))], 0)
             put(entity, label)
             background()
             if rng.random() < 0.6:
@@ -286,11 +296,25 @@ def witnesses(heard: np.ndarray, forms: np.ndarray, skip: np.ndarray) -> np.ndar
     return said[best]
 
 
+_HEAVY: dict = {}
+
+
+def heavy(form: str, w: dict) -> bool:
+    """Whether a token can be more than O by its shape, between tokens that are O."""
+    key = tuple(shape(form))
+    if key not in _HEAVY:
+        own = w["unary"][list(key)].sum(0) + w["chain"][0] + w["chain"][:, 0]
+        _HEAVY[key] = bool(own[1:].max() > own[0] - 2)
+    return _HEAVY[key]
+
+
 def field_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Spans that the field adds to the base spans of one document."""
     cues = [m.start() for m in _CUE.finditer(text)]
-    if not cues and not base:
+    marked = [m.start() for m in _MARKED.finditer(text)]
+    if not cues and not base and not marked:
         return []
+    w = weights()
     places = [m.span() for m in _TOKEN.finditer(text)]
     tokens = [text[a:b] for a, b in places]
     starts = np.asarray([a for a, _ in places])
@@ -299,23 +323,14 @@ def field_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
         for i in range(int(np.searchsorted(starts, a, side="right")) - 1, int(np.searchsorted(starts, b, side="left"))):
             observed[i] = 3
     live = set(observed)
-    for c in cues:
-        i = int(np.searchsorted(starts, c, side="right")) - 1
-        for d in (1, 2, 3):
-            if i + d < len(tokens):
-                form = tokens[i + d].strip(_TRIM)
-                if form[:1].isupper() or any(ch.isdigit() for ch in form) or "@" in form:
-                    live.add(i + d)
-                elif d == 1 and not form:
-                    continue
-                else:
-                    break
+    for i in (np.searchsorted(starts, cues, side="right") - 1).tolist():
+        live.update(range(i + 1, min(i + 4, len(tokens))))
+    live.update(i for i in set((np.searchsorted(starts, marked, side="right") - 1).tolist()) if heavy(tokens[i].strip(_TRIM), w))
     forms = {form_key(tokens[i]) for i in live} - {""}
     if forms:
         live.update(i for i, t in enumerate(tokens) if i not in live and form_key(t) in forms)
     if not live - set(observed):
         return []
-    w = weights()
     nodes = sorted(live)
     index = {t: k for k, t in enumerate(nodes)}
     unary = np.zeros((len(nodes), len(LABELS)))

@@ -109,6 +109,18 @@ def test_a_cue_reaches_every_repeat():
     assert np.allclose(personal.marginals(unary, edges, w), personal.marginals(unary, edges, w, rounds=5000), atol=1e-3)
 
 
+def test_fillers_between_cue_and_entity():
+    for text, kind, want in (
+        ("account number: 12345678", "id", "12345678"), ("passport number 12345678", "id", "12345678"), ("iban is DE89370400440532013000", "id", "DE89370400440532013000"),
+        ("mobile is 0301234567", "contact", "0301234567"), ("my name is Anna and so on", "name", "Anna"),
+    ):
+        assert [(k, text[a:b]) for k, a, b in personal.all_spans(text)[1]] == [(kind, want)]
+    for text in ("The order 123456789 was shipped in 2019 by B2B mp3 2nd covid19", "on 2019-05-03 we saw 1,234,567 of it", "the customer service called. We mail the name of the house on Monday. call the police in Berlin"):
+        assert personal.all_spans(text)[1] == []
+    w = personal.weights()  # what the gate leaves out can only be O
+    assert not any(personal.heavy(x, w) for x in ("Berlin", "UNO", "word", "2019", "12", "-"))
+
+
 def test_messages_agree_with_exact_marginals():
     rng = np.random.default_rng(1)
     w = {"chain": rng.normal(size=(3, 3)), "skip": np.eye(3) * 1.5}
