@@ -24,9 +24,11 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, table
 
-_TAG = re.compile(r"<!--(?:.*?--!?>|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/<>\"']*)((?:[^<>\"']|\"[^\"]{0,20000}\"|'[^']{0,20000}')*)>", re.S)
-_NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=]|$)|display\s*:\s*none""", re.I)
+#: Attribute values of any length. Nothing is given back, and a scan that fails ends where a later one of three would begin anew, so a page takes linear time.
+_TAG = re.compile(r"<!--(?:.*?--!?>|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/<>\"']*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s=<>"'/]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?+|"[^"]*+"?|'[^']*+'?""")
+_NAMED = re.compile(r"(?:^|\W)(?:class|id|role)$", re.I)
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = frozenset("script style noscript template iframe svg math head title object canvas select option textarea".split())
 INLINE = frozenset("a abbr b bdi bdo cite code data dfn em font i kbd label mark q s samp small span strong sub sup time tt u var ins del big wbr img".split())
@@ -134,11 +136,12 @@ def blocks_of(page: str) -> list[Block]:
             tags = tags | {_TAG_AT[name]}
         attrs = m[3]
         if attrs:
-            words = {w for g in _NAMED.findall(attrs) for w in re.split(r"[^a-z0-9]+", "".join(g).lower())}
+            pairs = [(g[0].lower(), g[1] or g[2] or g[3]) for g in _ATTRIBUTE.findall(attrs)]  # what stands in other values is none of these
+            words = {w for k, v in pairs if v and _NAMED.search(k) for w in re.split(r"[^a-z0-9]+", v.lower())}
             found = {_NAMED_AT[w] for w in words if w in _NAMED_AT}
             if found and not found <= named:
                 named = named | found
-            hidden = hidden or (("hidden" in attrs.lower() or "none" in attrs) and bool(_HIDDEN.search(attrs)))
+            hidden = hidden or any(k == "hidden" or k == "style" and _NO_DISPLAY.search(v) for k, v in pairs)
         stack.append((name, tags, named, hidden or name == "head"))
         depth_a += name == "a"
     kept = []

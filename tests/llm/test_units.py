@@ -240,6 +240,17 @@ def test_html_blocks():
     assert html_text.extract(None, m) == html_text.extract("", m) == html_text.extract("<p>", m) == ""
 
 
+def test_html_long_attributes():
+    m = dict(html_text.model())
+    page = "<html><body><nav><a href=x>Home</a></nav><article{}><h1>The river</h1><p>One line of it, with several words in it.{} Next line of it, with words.</p></article><footer>&copy; x</footer></body></html>"
+    want = html_text.extract(page.format("", ""), m)
+    assert want.startswith("The river One line")
+    assert html_text.extract(page.format("", '<img src="data:image/png;base64,' + "iVBORw0K" * 131_072 + '">'), m) == want
+    assert html_text.extract(page.format(" data-state='" + '{"a": "a hidden line", "css": "display:none; class=footer"}, ' * 1_000 + "'", ""), m) == want
+    for broken in ("<a", "<a b=", '<a b="', "<a 'x\"", '<a "\'"', "<" + "a"):
+        assert len(html_text.blocks_of(broken * 50_000)) <= 1  # linear, or this does not end
+
+
 def test_viterbi_is_the_best_sequence():
     rng = np.random.default_rng(2)
     for _ in range(30):
