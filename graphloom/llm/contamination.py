@@ -4,7 +4,10 @@ The items are the index's documents, the passages of the training texts its quer
 what an item scores against itself, so one threshold holds for all items: the share of an item's weight that a passage holds.
 Passages are windows of twice the longest item, each shifted by half, so an item that a text holds lies whole in one of them.
 Items stand by length in blocks. For all passages of a text at once, the block maxima of their words are summed, which skips
-every block that cannot reach the threshold; in the others WAND pivots retrieve every item above it. Retrieved pairs are verified on five-word shingles of question and answer.
+every block that cannot reach the threshold; in the others WAND pivots retrieve every item above it. Retrieved pairs are
+verified on five-word shingles of question and answer or, as an edited word breaks up to five of these, by alignment: an
+item whose words need few edits (a word replaced, left out or put in) to stand in the text is held by it. The answer is
+aligned by itself only where there is a real one.
 
 The index holds items of at most `index_bytes` of text. A larger benchmark is taken in several such blocks, one pass each,
 so what is sent to the executors never grows.
@@ -48,14 +51,33 @@ def grams(h: np.ndarray, k: int = GRAM) -> np.ndarray:
     return total
 
 
+def edits(item: np.ndarray, text: np.ndarray) -> int:
+    """The least words to replace, leave out or put in that make the item out of any stretch of the text."""
+    ramp = np.arange(len(text) + 1)
+    cost = np.zeros(len(text) + 1, np.int64)
+    for i, word in enumerate(item):
+        put = np.minimum(cost[:-1] + (text != word), cost[1:] + 1)
+        cost = np.minimum.accumulate(np.concatenate([[i + 1], put]) - ramp) + ramp
+    return int(cost.min())
+
+
+def allowed(n: int, overlap: float) -> int:
+    """Edits under which a part of n words is the same: half of what `overlap` leaves, or two where it leaves as many.
+
+    Texts made from one template differ in more: three words of 21 make another text.
+    """
+    return min(int((1 - overlap) * n + 1e-9), max(2, int((1 - overlap) / 2 * n + 1e-9)))
+
+
 class Index:
     """Postings with impacts, block maxima and the shingles to verify by."""
 
     def __init__(self, items: list[tuple[object, str | None, str | None]]):
         """Items are (id, question, answer); without an answer the last third of the words counts as it."""
-        self.ids, self.parts, self.sizes, words = [], [], [], []
+        self.ids, self.parts, self.sizes, self.whole, words = [], [], [], [], []
         for key, question, answer in sorted(items, key=lambda r: len(r[1] or "") + len(r[2] or "")):  # blocks of alike lengths have tight maxima
             q, a = (words_of(np.frombuffer((x or "").encode("utf-8", "replace"), np.uint8)) for x in (question, answer))
+            whole = (q, a) if len(a) else (q,)
             if not len(a):
                 cut = len(q) - len(q) // 3
                 q, a = q[:cut], q[cut:]
@@ -64,6 +86,7 @@ class Index:
                 self.ids.append(key)
                 self.parts.append((np.unique(grams(q)), np.unique(grams(a))))
                 self.sizes.append((len(q), len(a)))
+                self.whole.append(whole)
                 words.append(both)
         n = len(self.ids)
         self.longest = max((len(w) for w in words), default=0)
@@ -183,7 +206,7 @@ class Index:
             return []
         stride = max(32, self.longest)
         starts = np.arange(0, max(1, len(h) - stride), stride)
-        best: dict[int, tuple[int, float, float, float, int]] = {}
+        best: dict[int, tuple[tuple[int, float, float, float, int], bool]] = {}
         for k, found in self._found(at, v, starts, 2 * stride, least):
             have = np.unique(grams(h[starts[k] : starts[k] + 2 * stride]))
             short: dict[int, np.ndarray] = {}
@@ -197,11 +220,21 @@ class Index:
                     else:
                         own = have
                     shares.append(float(np.isin(part, own).mean()) if len(part) else 1.0)
-                if min(shares) >= overlap:
+                held, near = min(shares) >= overlap, False  # by shingles of this passage alone
+                if not held:
+                    # an edited copy may be longer than the item, and so than what a passage is sure to hold
+                    around = h[max(0, starts[k] - stride // 4 - 1) : starts[k] + 2 * stride + stride // 4 + 1]
+                    whole = self.whole[item]
+                    if all(np.isin(x, around).mean() >= overlap for x in whole if len(x)):
+                        wrong = [edits(x, around) for x in whole]
+                        if all(e <= allowed(len(x), overlap) for e, x in zip(wrong, whole, strict=True)):
+                            shares = [1 - e / max(len(x), 1) for e, x in zip(wrong, whole, strict=True)] * (3 - len(whole))
+                            near = True
+                if held or near:
                     row = (item, round(score, 6), round(shares[0], 6), round(shares[1], 6), int(starts[k]))
-                    if item not in best or row[1:4] > best[item][1:4]:
-                        best[item] = row
-        return sorted(best.values())
+                    if item not in best or (row[1:4], held) > (best[item][0][1:4], best[item][1]):
+                        best[item] = row, held
+        return sorted(row for row, _ in best.values())
 
 
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, question: str = "text", answer: str | None = None, least: float = 0.75, overlap: float = 0.8, index_bytes: int = 16 << 20) -> DataFrame:

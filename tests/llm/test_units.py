@@ -196,6 +196,27 @@ def test_contaminated_passages():
     assert contamination.Index([]).matches(contamination.words_of(raw("a b")), 0.75, 0.8) == []
 
 
+def test_contaminated_by_edited_copies():
+    rng = np.random.default_rng(8)
+    words = [[f"w{i}" for i in rng.integers(0, 400, n)] for n in (15, 17, 25, 40, 55)]
+    index = contamination.Index([(k, " ".join(w), None) for k, w in enumerate(words)])
+    around = [f"y{i}" for i in range(300)]
+
+    def found(copy, at, index=index):
+        return [index.ids[m[0]] for m in index.matches(contamination.words_of(raw(" ".join(around[:at] + copy + around[at:]))), 0.75, 0.8)]
+
+    for k, w in enumerate(words):
+        for i in range(len(w)):
+            j = (i + 7) % len(w)
+            assert found([x if n != i else "zz" for n, x in enumerate(w)], 3 * i) == [k]
+            assert found([x if n not in (i, j) else "zz" for n, x in enumerate(w)], 5 * i) == [k]
+            assert found(w[:i] + w[i + 1 :], 4 * i) == found(w[:i] + ["zz", "zy"] + w[i:], 2 * i) == [k]
+        assert found(sorted(w), 50) == found(w[: len(w) // 2], 50) == []
+    own = contamination.Index([(1, " ".join(words[2]), "seven bells")])
+    assert found(["zz", *words[2][1:], "seven", "bells"], 9, own) == [1]
+    assert found([*words[2], "seven", "zz"], 9, own) == []
+
+
 def test_folded_network_equals_the_layers():
     p = language.train([(b"the and of the " * 30, "en"), ("der die und ß ".encode() * 30, "de")], steps=5)
     data = np.random.default_rng(0).integers(0, 256, (3, language.WINDOW)).astype(np.uint8)
