@@ -10,7 +10,8 @@ item whose words need few edits (a word replaced, left out or put in) to stand i
 aligned by itself only where there is a real one.
 
 The index holds items of at most `index_bytes` of text. A larger benchmark is taken in several such blocks, one pass each,
-so what is sent to the executors never grows.
+so what is sent to the executors never grows. Numbers of items, document frequencies and mean length are those of all items
+in each, so the blocks don't show in the scores.
 
 Defined results: null and empty texts and items without words match nothing; an item of fewer than five words is one
 shingle; equal items match alike; repeated rows give repeated pairs; empty tables on either side give no rows; texts are read
@@ -26,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import checked_broadcast, durable, mix, small_batches, table, texts, word_hashes
 
@@ -72,8 +74,12 @@ def allowed(n: int, overlap: float) -> int:
 class Index:
     """Postings with impacts, block maxima and the shingles to verify by."""
 
-    def __init__(self, items: list[tuple[object, str | None, str | None]]):
-        """Items are (id, question, answer); without an answer the last third of the words counts as it."""
+    def __init__(self, items: list[tuple[object, str | None, str | None]], counts: tuple[int, float, np.ndarray, np.ndarray] | None = None):
+        """Items are (id, question, answer); without an answer the last third of the words counts as it.
+
+        `counts` are, for a part of a benchmark, those of all items: how many have words, their mean length, words in
+        order and how many items hold each.
+        """
         self.ids, self.parts, self.sizes, self.whole, words = [], [], [], [], []
         for key, question, answer in sorted(items, key=lambda r: len(r[1] or "") + len(r[2] or "")):  # blocks of alike lengths have tight maxima
             q, a = (words_of(np.frombuffer((x or "").encode("utf-8", "replace"), np.uint8)) for x in (question, answer))
@@ -99,7 +105,12 @@ class Index:
             v, tf = np.unique(np.searchsorted(self.vocab, w), return_counts=True)
             df[v] += 1
             rows.append((v, tf, len(w)))
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        if counts:
+            n_all, mean, known, held = counts
+            df = held[np.searchsorted(known, self.vocab)].astype(float)
+        else:
+            n_all = n
+        idf = np.log(1 + (n_all - df + 0.5) / (df + 0.5))
         for item, (v, tf, length) in enumerate(rows):
             s = idf[v] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
             for t, x in zip(v.tolist(), (s / s.sum()).tolist(), strict=True):
@@ -237,6 +248,29 @@ class Index:
         return sorted(row for row, _ in best.values())
 
 
+def _counts(items: DataFrame, part) -> tuple[int, float, DataFrame]:
+    """Items with words, their mean length, and a table of each part's words with the number of items that hold them, of all items."""
+
+    def own_words(batches):
+        for batch in small_batches(batches):
+            parts, words, sizes = [], [], []
+            for k, (_, q), (_, a) in zip(batch.column(0).to_pylist(), texts(batch.column(1)), texts(batch.column(2)), strict=True):
+                both = np.concatenate([words_of(q), words_of(a)])
+                if len(both):
+                    own = np.unique(both).view(np.int64)
+                    parts += [np.full(len(own), k, np.int32)]
+                    words += [own]
+                    sizes += [np.append(len(both), np.zeros(len(own) - 1, np.int64))]  # an item's length stands with its first word
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (parts, words, sizes)], names=["part", "word", "size"])
+
+    rows = items.select(part.cast("int").alias("part"), F.col("question").cast("string"), F.col("answer").cast("string")).mapInArrow(own_words, "part int, word long, size long")
+    words = durable(rows.groupBy("part", "word").agg(F.count("*").alias("n"), F.sum((F.col("size") > 0).cast("long")).alias("items"), F.sum("size").alias("size")))
+    total = words.agg(F.sum("items").alias("n"), F.sum("size").alias("size")).first()
+    held = words.select("part", "word", F.sum("n").over(Window.partitionBy("word")).alias("n"))  # a word has a row for each part at most
+    return total["n"] or 0, (total["size"] or 0) / (total["n"] or 1), durable(held)
+
+
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, question: str = "text", answer: str | None = None, least: float = 0.75, overlap: float = 0.8, index_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap, passage: a row for each document and item that it holds."""
     spark = docs.sparkSession
@@ -245,11 +279,18 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, question: str = "te
     items = benchmark.select(*columns)
     size = items.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("question"), F.lit(0)) + F.coalesce(F.octet_length("answer"), F.lit(0)) + 64), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, math.ceil(size / index_bytes * 1.25)) if size > index_bytes else 1
-    out = None
+    out, dealt, counts = None, F.pmod(F.xxhash64("item_id", "question"), F.lit(blocks)), None
+    if blocks > 1:
+        n, mean, held = _counts(items, dealt)
     for k in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id", "question"), F.lit(blocks)) == k) if blocks > 1 else items
+        own = items.where(dealt == k) if blocks > 1 else items
+        if blocks > 1:
+            rows = held.where(F.col("part") == k).select("word", "n").toArrow()
+            word = rows["word"].to_numpy().view(np.uint64)
+            order = np.argsort(word)
+            counts = n, mean, word[order], rows["n"].to_numpy()[order]
         got = sorted(((r["item_id"], r["question"], r["answer"]) for r in own.collect()), key=lambda r: (r[0] is None, r[0], r[1] or "", r[2] or ""))  # index_bytes at most, give or take a hash
-        index = spark.sparkContext.broadcast(Index(got))
+        index = spark.sparkContext.broadcast(Index(got, counts))
 
         def scan(batches, index=index):
             known = index.value

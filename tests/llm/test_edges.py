@@ -133,6 +133,16 @@ def test_contamination(spark, docs, none, odd):
     assert contamination.drop_contaminated(docs, items).count() == len(rows()) - 1
 
 
+def test_contamination_in_parts(spark):
+    texts = [" ".join(f"w{(i * i + 7 * j) % (20 + 9 * (i % 5))}" for j in range(12 + i)) for i in range(30)]
+    items = spark.createDataFrame([*enumerate(texts), (5, texts[5]), (40, ""), (41, None)], "item_id long, text string")
+    copies = [(i, "before it " + " ".join([*t.split()[:3], "edited", *t.split()[4:]]) + " and after") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(copies, "doc_id long, text string")
+    whole = sorted(map(tuple, contamination.find_contaminated(docs, items).select("doc_id", "item_id", "score").collect()))
+    assert {(i, i) for i in range(30)} <= {r[:2] for r in whole} and min(r[2] for r in whole) < 0.99
+    assert sorted(map(tuple, contamination.find_contaminated(docs, items, index_bytes=1000).select("doc_id", "item_id", "score").collect())) == whole
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(1, "http://x/1", None, "x"), (1, None, "", "x"), (2, "u", "<article><p>Some words stand here, and they are the main text of it.</article>" * 300, "x")], "page_id long, url string, html string, text string")
     got = html_text.extract_text(pages, ["page_id", "url"]).orderBy("page_id").collect()
