@@ -195,8 +195,8 @@ def identify(docs: DataFrame, model: dict, carry: list[str]) -> DataFrame:
     return map_texts(docs, lambda column: predict(model, column), "lang_pred string, score double", carry)
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The documents whose language the network tells with a score of `least` or more."""
+def keep_identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
+    """The documents whose language the network tells with a score of `least` or more: unless asked, all but `und`, as clean texts of several languages score low."""
     return identify(docs, fit(docs), docs.columns + ["text"] * ("text" not in docs.columns)).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).drop("lang_pred", "score")
 
 

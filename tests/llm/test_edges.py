@@ -114,6 +114,15 @@ def test_classifiers(spark, docs, none, odd):
     assert quality_model.score_quality(none, quality_model.fit(none, labels.limit(0)), ["doc_id"]).count() == 0
 
 
+def test_texts_of_several_languages_are_kept(spark):
+    words = {"en": "the river runs north and ", "de": "und der alte Fluß zieht ", "ru": "река течёт на север и ", "el": "το ποτάμι κυλά αργά και "}
+    rows = [(4 * i + k, words[x] * (20 + i), x) for i in range(12) for k, x in enumerate(words)] + [(100, "".join(w * 12 for w in words.values()) * 2, None), (101, "12 34", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    scores = {r["doc_id"]: r["score"] for r in language.identify(docs, language.fit(docs), ["doc_id"]).collect()}
+    assert scores[100] < 0.5
+    assert {r["doc_id"] for r in language.keep_identified(docs).collect()} == set(scores) - {101}
+
+
 def test_scans(docs, none, odd):
     for scan in (secrets.scan_secrets, personal.scan_personal):
         assert scan(odd, odd.columns).count() == len(rows())
