@@ -2,8 +2,8 @@
 
 Strong parts (assignments to secret names, access key identifiers, long hex runs) are reported wherever they stand. Weak
 parts (user or client identifiers, endpoints, random-looking keys) say little alone: they are joined as intervals with
-complementary parts in the same scope, and reported only if linked. A scope is a stretch of text between blank lines; two
-parts link if no more than `reach` code points lie between them. Complementary are identifier and secret, endpoint and
+complementary parts in the same scope, and reported only if linked. A scope is a stretch of text between blank lines. In
+a scope of several lines all parts link; in one running line, two link if no more than `reach` code points lie between them. Complementary are identifier and secret, endpoint and
 secret, and an endpoint or identifier with a random-looking key, which then counts as a secret; a key that is a value in
 an endpoint's own query links with it.
 
@@ -65,7 +65,7 @@ def looks_random(word: str) -> bool:
 
 
 def linked_spans(text: str, strong: list[tuple[str, int, int]], reach: int = 300) -> list[tuple[str, int, int]]:
-    """The weak spans that have a complementary part in reach."""
+    """The weak spans that have a complementary part in their scope; `reach` bounds scopes of a single line."""
     idents, endpoints = [], []
     if ":" in text or "=" in text:
         idents = [("ident", *m.span()) for m in _IDENT.finditer(text)]
@@ -86,14 +86,25 @@ def linked_spans(text: str, strong: list[tuple[str, int, int]], reach: int = 300
         k = bisect_left(starts, s[2])
         return not k or ends[k - 1] <= s[1]
 
-    breaks = [m.start() for m in _BLANK.finditer(text)]
+    blanks = [m.span() for m in _BLANK.finditer(text)]
+    breaks = [a for a, _ in blanks]
+    lines: dict[int, bool] = {}
+
+    def block(k: int) -> bool:
+        """Whether scope k, before blank k, has several lines."""
+        if k not in lines:
+            lines[k] = "\n" in text[blanks[k - 1][1] if k else 0 : breaks[k] if k < len(breaks) else len(text)].strip()
+        return lines[k]
+
     found = []
     for part, others in ((idents, secrets), (endpoints, secrets), (keys, idents + endpoints + access)):
         others = sorted((o[1], o[2]) for o in others)
         first, last = [o[0] for o in others], sorted(o[1] for o in others)
         for s in part:
             k = bisect_left(breaks, s[1])
-            low, high = max(s[1] - reach, breaks[k - 1] if k else 0), min(s[2] + reach, breaks[k] if k < len(breaks) else len(text))
+            low, high = breaks[k - 1] if k else 0, breaks[k] if k < len(breaks) else len(text)
+            if not block(k):
+                low, high = max(s[1] - reach, low), min(s[2] + reach, high)
             # some interval ends in [low, start] or starts in [end, high]: parts may touch, not overlap
             before = bisect_right(last, s[1]) > bisect_left(last, low)
             after = bisect_right(first, high) > bisect_left(first, s[2])

@@ -173,6 +173,16 @@ def test_linking_without_blanks():
     assert found(f"https://api.example.com/{key}") == []
 
 
+def test_linking_over_a_whole_block():
+    key = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    certificate = "\n".join("mii" * 21 for _ in range(40))
+    for between in (certificate, "# " + "a long comment " * 60, "\n".join(f"field{i}: {i}" for i in range(99))):
+        text = f"client_id: admin_x\n{between}\nvalue = {key}\n"
+        assert [s[0] for s in secrets.linked_spans(text, secrets.strong_spans(text))] == ["ident", "key"]
+        text = f"client_id: admin_x\n{between}\n\nvalue = {key}\n"
+        assert secrets.linked_spans(text, secrets.strong_spans(text)) == []
+
+
 def test_wand_finds_what_scoring_all_finds():
     rng = np.random.default_rng(3)
     vocab = [f"w{i}" for i in range(120)]
