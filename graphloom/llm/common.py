@@ -45,10 +45,12 @@ class Scratch:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The session's own checkpoint folder; where none is named, as in tests on one machine, a temporary one is set."""
+    """The session's own checkpoint folder; where none is named, a temporary one is set on one machine, an error raised on a cluster."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.split("[")[0] == "local":
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="graphloom-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -68,8 +70,7 @@ def _cleanup(spark: SparkSession):
 def durable(df: DataFrame) -> DataFrame:
     """`df` written to the shared checkpoint folder, its lineage cut.
 
-    The folder is the one that the session names in spark.checkpoint.dir. Only where that is unset, as in
-    tests on one machine, a temporary folder is set. Shuffle files of the steps before are deleted when it is written,
+    The folder is the one that the session names in spark.checkpoint.dir. Shuffle files of the steps before are deleted when it is written,
     not when the driver happens to collect its garbage.
     """
     checkpoint_folder(df.sparkSession)
@@ -82,13 +83,24 @@ def salted_join(big: DataFrame, small: DataFrame, on: str, salts: int = 16, how:
 
     Rows of a key go to `salts` tasks; `small` is repeated that often, so its size is multiplied by a constant.
     """
-    salt = "__salt"
+    salt = unused(big.columns + small.columns, "salt")[0]
     # the salt follows from the row itself, so that a task run again deals its rows alike
     left = big.withColumn(salt, F.pmod(F.xxhash64(*[c for c, t in big.dtypes if not t.startswith("map")]), F.lit(salts)).cast("int"))
     right = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [on, salt], how).drop(salt)
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, lengthened until none of `columns` is called so."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes, offsets and null flags of a string column, without copies of the text."""
     if isinstance(column, pa.ChunkedArray):
@@ -203,13 +215,13 @@ def map_texts(df: DataFrame, compute, fields: str, carry: list[str], text: str =
     spark = df.sparkSession
     new = spark.createDataFrame([], fields).schema
     carry = [c for c in carry if c not in new.names]
-    own = df.select(*carry, F.col(text).cast("string").alias("__text"))
+    own = df.select(*carry, F.col(text).cast("string").alias(unused(df.columns, "text_in")[0]))
     schema = type(new)([*own.schema.fields[:-1], *new.fields])
 
     def run(batches):
         for batch in small_batches(batches):
             table_ = pa.Table.from_batches([batch])
-            made = compute(table_.column("__text").combine_chunks())
+            made = compute(table_.column(len(carry)).combine_chunks())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], *made], names=[*carry, *new.names])
 
     return own.mapInArrow(run, schema)

@@ -3,19 +3,25 @@
 1. Counts of all shingles of all documents, in a table of 2 ** SKETCH_BITS hash buckets of fixed size, give the global order:
    shingles of rare buckets first, equal counts by hash. Any order common to all documents is exact; counts only make it quick.
 2. Texts with the same set of shingles become one set, kept by its 128-bit key.
-3. Each set of n shingles is indexed by its first n - ceil(t n) + 1 shingles; shingles that only one set indexes drop out.
+3. Each set of n shingles is indexed by its first n - ceil(t n) + 1 shingles; shingles that only one set indexes drop out,
+   and of shingles that index the same sets one stays: a pair fails in one such block if it fails in any.
 4. In each block (sets that index one shingle) pairs pass the length filter, the positional filter and a suffix filter: the
-   Hamming distance of two parity bitmaps is never above the size of the symmetric difference. Blocks are read in a sorted
-   stream, a row at a time; those above `chunk` sets are dealt to pairs of chunks, so no task holds more than two chunks.
-5. A block hands on a spanning forest of its surviving pairs, not all pairs: as many rows as it has sets. Pairs are counted
-   exactly on the texts, once each. If a pair of a forest fails, its block is read again and hands on every surviving pair
-   between sets that are not connected yet. So no link that would connect two components is lost.
-6. Components of the links: a bounded number of links in one task, more by hooking and pointer jumping in tables.
+   Hamming distance of two parity bitmaps is never above the size of the symmetric difference. A bitmap's width follows the
+   difference that its set may have, and the wider of two is folded. Blocks are read in a sorted stream.
+5. First a block hands on a spanning forest of its surviving pairs, at most as many rows as it has sets. Blocks above `chunk`
+   sets are cut into chunks twice, by two hashes, so that most of a large group is connected at linear cost.
+6. Pairs are counted exactly on the texts, once each, and links make components. A block with a failed pair between two
+   components, or a large one with more than one component, is read again: every component hands on its `few` nearest pairs
+   with others; a block that held back a pair comes again with eight times as many, until none holds back. So no link
+   that would connect two components is lost, and a pair is handed on only while its ends are not connected.
+   A large block's main component meets the other sets of the block in pairs of chunks; its own sets are not compared again.
+7. Components of the links: a bounded number of links in one task, more by hooking and pointer jumping in tables.
 
 Defined results: null and empty texts, and texts without words, have 0 shingles and are linked with nothing; texts with
-fewer words than a shingle count as one shingle; a document with a null id is a component of its own with a null id, unless
-it has links; repeated rows each come back; an empty table gives no rows; extra columns are ignored. Shingles are compared
-by a 64-bit hash; very long texts are hashed in parts of bounded size.
+fewer words than a shingle count as one shingle; a document with a null id is linked like any other, its component_id is the
+smallest id among those it reaches, null if there is none; rows that share an id are judged each by its own text; repeated
+rows each come back; an empty table gives no rows; extra columns are ignored. Shingles are compared by a 64-bit hash; very
+long texts are hashed in parts of bounded size.
 """
 
 from __future__ import annotations
@@ -29,12 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, checked_broadcast, durable, mix, salted_join, small_batches, table, texts, word_hashes
+from .common import Scratch, checked_broadcast, durable, mix, salted_join, small_batches, table, texts, unused, word_hashes
 
 SMALL = 6
 SKETCH_BITS = 20
 SKETCH_PART = 12  # bits of a bucket's place in its part of the table
-SIGNATURE_BITS = 1024
+LEAST_BITS = 256
 _ODD = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
@@ -83,13 +89,35 @@ def _sketch(docs: DataFrame, k: int) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _signature(s: np.ndarray) -> bytes:
-    odd = np.bincount((s & np.uint64(SIGNATURE_BITS - 1)).astype(np.int64), minlength=SIGNATURE_BITS) & 1
+def _signature(s: np.ndarray, percent: int = 80) -> bytes:
+    """Parities of a set's hashes by bucket; eight buckets at least for each element in which a partner may differ."""
+    differ = len(s) * 2 * (100 - percent) // (100 + percent)
+    bits = max(LEAST_BITS, 1 << (8 * differ - 1).bit_length())
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def _folded(sign: np.ndarray, words: int) -> np.ndarray:
+    """A parity bitmap, as 64-bit words, of fewer buckets: those that fall together add their parities."""
+    while len(sign) > words:
+        sign = sign[: len(sign) // 2] ^ sign[len(sign) // 2 :]
+    return sign
+
+
+def _distance(x: bytes, y: bytes) -> int:
+    if len(x) != len(y):
+        few = min(len(x), len(y)) // 8
+        x, y = (_folded(np.frombuffer(z, np.uint64), few).tobytes() for z in (x, y))
+    return (int.from_bytes(x) ^ int.from_bytes(y)).bit_count()
+
+
+def _fingerprint():
+    """With the id, what tells rows of other texts apart before their sets are known."""
+    return F.xxhash64("text")
+
+
 def shingle_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n (shingles), set (128-bit key; null if empty), prefix (rare-first) and signature of every document."""
+    """doc_id, print (of the text), n (shingles), set (128-bit key; null if empty), prefix (rare-first) and signature of every document."""
     spark = docs.sparkSession
     classes = spark.sparkContext.broadcast(_sketch(docs, words))
 
@@ -97,22 +125,31 @@ def shingle_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
         order = classes.value
         for batch in small_batches(batches):
             n, keys, prefixes, signs = [], [], [], []
-            for _, raw in texts(batch.column(1)):
+            for _, raw in texts(batch.column(2)):
                 s = shingles(raw, words)
                 n.append(len(s))
                 if len(s):
                     p = len(s) - _ceil_share(len(s), percent) + 1
                     c = order[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                    keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                    keys.append(_key(s))
                     prefixes.append(s[np.argsort(c, kind="stable")[:p]].view(np.int64))
-                    signs.append(_signature(s))
+                    signs.append(_signature(s, percent))
                 else:
                     keys.append(None)
                     prefixes.append(None)
                     signs.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(signs, pa.binary())], names=["doc_id", "n", "set", "prefix", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(signs, pa.binary())], names=["doc_id", "print", "n", "set", "prefix", "signature"])
+
+    return _plain(docs).mapInArrow(build, "doc_id long, print long, n long, set binary, prefix array<long>, signature binary")
+
+
+def _plain(docs: DataFrame) -> DataFrame:
+    """doc_id, print and text, whatever the types of `docs`."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", _fingerprint().alias("print"), "text")
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(build, "doc_id long, n long, set binary, prefix array<long>, signature binary")
+def _key(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
 def _roots(parent, x: int) -> int:
@@ -122,14 +159,11 @@ def _roots(parent, x: int) -> int:
     return x
 
 
-def _forest(pairs: list[tuple[int, int, int]], m: int, comp: list | None) -> list[tuple[int, int]]:
+def _forest(pairs: list[tuple[int, int, int]], m: int) -> list[tuple[int, int]]:
     """Of (distance, x, y) with x < y: for each set the pair with its smallest partner, then what still connects, nearest first.
 
-    Places follow the sets' keys, so blocks with alike members hand on the same pairs. Given components, every pair
-    between different ones is handed on.
+    Places follow the sets' keys, so blocks with alike members hand on the same pairs.
     """
-    if comp is not None:
-        return [(x, y) for _, x, y in pairs if comp[x] != comp[y]]
     parent, out, least = list(range(m)), [], {}
     for _, x, y in pairs:
         if x < least.get(y, m):
@@ -142,31 +176,73 @@ def _forest(pairs: list[tuple[int, int, int]], m: int, comp: list | None) -> lis
     return out
 
 
-def _few_pairs(n: list, pos: list, sign: list, side: list, percent: int) -> list[tuple[int, int, int]]:
-    """_near_pairs for a handful of sets, without arrays."""
+def _nearest(pairs: list[tuple[int, int, int]], comp: list, few: int | None) -> list[tuple[int, int]]:
+    """Of (distance, x, y): pairs that are among the `few` nearest of either end's component, or all."""
+    if few is None:
+        return [(x, y) for _, x, y in pairs]
+    out, had = [], {}
+    for _, x, y in sorted(pairs):
+        u, v = had.get(comp[x], 0), had.get(comp[y], 0)
+        if u < few or v < few:
+            out.append((x, y))
+            had[comp[x]], had[comp[y]] = u + 1, v + 1
+    return out
+
+
+def _few_pairs(n: list, pos: list, sign: list, side: list, percent: int, comp: list | None = None) -> list[tuple[int, int, int]]:
+    """Pairs of a handful of sets that pass all filters, without arrays. Bitmaps are bytes, or numbers of equal width."""
     m, near = len(n), []
     for x in range(m - 1):
         for y in range(x + 1, m):
             a, b = n[x], n[y]
-            if min(a, b) * 100 < max(a, b) * percent or (side[x] == side[y] != 2):
+            if min(a, b) * 100 < max(a, b) * percent or (side[x] == side[y] != 2) or comp is not None and comp[x] == comp[y]:
                 continue
             need = -(-percent * (a + b) // (100 + percent))
             if 1 + min(pos[x], pos[y]) + min(a - 1 - pos[x], b - 1 - pos[y]) < need:
                 continue
-            far = (sign[x] ^ sign[y]).bit_count()
+            far = (sign[x] ^ sign[y]).bit_count() if isinstance(sign[x], int) else _distance(sign[x], sign[y])
             if far <= a + b - 2 * need:
                 near.append((far, x, y))
     return near
 
 
-def _block_pairs(n: np.ndarray, pos: np.ndarray, sign: np.ndarray, side: np.ndarray, percent: int, comp: list | None, rows: int = 64) -> list[tuple[int, int]]:
-    """Pairs of a block, in the order of its sets' keys, that pass all filters and `_forest`. `side`: 0 and 1 in a pair of
-    chunks, 2 in a block of its own."""
+class _Bitmaps:
+    """The bitmaps of sets in the order of their sizes, by width; of two widths the smaller counts."""
+
+    def __init__(self, sign: list[np.ndarray]):
+        self.width = np.asarray([len(x) for x in sign])
+        self.place = np.zeros((2, len(sign)), np.int64)  # row in the table of a set's own width, and of the width below
+        self.tables: dict[int, np.ndarray] = {}
+        for w in np.unique(self.width).tolist():
+            own, wide = np.flatnonzero(self.width == w), np.flatnonzero(self.width == 2 * w)
+            self.place[0, own], self.place[1, wide] = np.arange(len(own)), len(own) + np.arange(len(wide))
+            self.tables[w] = np.stack([sign[k] for k in own] + [_folded(sign[k], w) for k in wide])
+        self.sign = sign
+
+    def distances(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Of pairs of places i < j."""
+        far = np.empty(len(i), np.int32)
+        for w, table_ in self.tables.items():
+            own = np.flatnonzero((self.width[i] == w) & (self.width[j] <= 2 * w))
+            for s in range(0, len(own), max(1, 131_072 // w)):
+                k = own[s : s + max(1, 131_072 // w)]
+                other = np.where(self.width[j[k]] == w, self.place[0, j[k]], self.place[1, j[k]])
+                far[k] = np.bitwise_count(table_[self.place[0, i[k]]] ^ table_[other]).sum(1)
+        for k in np.flatnonzero(self.width[j] > 2 * self.width[i]).tolist():  # no such pair passes the length filter at 50 % or more
+            far[k] = np.bitwise_count(self.sign[i[k]] ^ _folded(self.sign[j[k]], len(self.sign[i[k]]))).sum()
+        return far
+
+
+def _block_pairs(n: np.ndarray, pos: np.ndarray, sign, side: np.ndarray, percent: int, comp: list | None, few: int | None = None, rows: int = 64) -> list[tuple[int, int]]:
+    """Pairs of a block, in the order of its sets' keys, that pass all filters: their forest or, given components, the `few`
+    nearest between each and others. `side`: 0 and 1 in a pair of chunks, 2 in a block of its own. `sign`: 64-bit words."""
     m = len(n)
     if m <= SMALL:
-        return _forest(_few_pairs(n.tolist(), pos.tolist(), [int.from_bytes(x.tobytes()) for x in sign], side.tolist(), percent), m, comp)
+        near = _few_pairs(n.tolist(), pos.tolist(), [x.tobytes() for x in sign], side.tolist(), percent, comp)
+        return _forest(near, m) if comp is None else _nearest(near, comp, few)
     order = np.argsort(n, kind="stable")
-    n, pos, sign, side = n[order], pos[order], sign[order], side[order]
+    n, pos, side, maps = n[order], pos[order], side[order], _Bitmaps([sign[k] for k in order.tolist()])
+    group = None if comp is None else np.unique(np.asarray(comp, object), return_inverse=True)[1][order]
     least, kept = np.full(m, m), []
     for at in range(0, m - 1, rows):
         i = np.arange(at, min(m, at + rows))
@@ -178,12 +254,12 @@ def _block_pairs(n: np.ndarray, pos: np.ndarray, sign: np.ndarray, side: np.ndar
         low = np.minimum(pos[i][:, None], pos[j][None])
         ok = (j[None] > i[:, None]) & (a * 100 >= b * percent) & (1 + low + np.minimum(a - 1 - pos[i][:, None], b - 1 - pos[j][None]) >= need)
         ok &= (side[i][:, None] == 2) | (side[i][:, None] != side[j][None])
+        if group is not None:
+            ok &= group[i][:, None] != group[j][None]
         p, q = np.nonzero(ok)
         if not len(p):
             continue
-        far = np.empty(len(p), np.int32)
-        for s in range(0, len(p), 8192):
-            far[s : s + 8192] = np.bitwise_count(sign[i[p[s : s + 8192]]] ^ sign[j[q[s : s + 8192]]]).sum(1)
+        far = maps.distances(i[p], j[q])
         near = far <= a[p, 0] + b[0, q] - 2 * need[p, q]
         x, y = order[i[p[near]]], order[j[q[near]]]
         x, y = np.minimum(x, y), np.maximum(x, y)
@@ -192,46 +268,81 @@ def _block_pairs(n: np.ndarray, pos: np.ndarray, sign: np.ndarray, side: np.ndar
     if not kept:
         return []
     far, x, y = (np.concatenate(c) for c in zip(*kept, strict=True))
-    if comp is None:  # pairs that the smallest partners connect already need no second look
-        label = np.minimum(np.arange(m), least)
-        while True:
-            up = label[label]
-            if (up == label).all():
-                break
-            label = up
-        open_ = (label[x] != label[y]) | (least[y] == x)
-        far, x, y = far[open_], x[open_], y[open_]
-    return _forest(list(zip(far.tolist(), x.tolist(), y.tolist(), strict=True)), m, comp)
-
-
-def _pairs(blocks: DataFrame, percent: int, chunk: int, everything: bool) -> DataFrame:
-    """token, a, b: pairs that the blocks hand on. `blocks`: token, size, set, n, pos, signature (and comp)."""
+    if comp is not None:
+        return _nearest(list(zip(far.tolist(), x.tolist(), y.tolist(), strict=True)), comp, few)
+    # pairs that the smallest partners connect already need no second look
+    label = np.minimum(np.arange(m), least)
+    while True:
+        up = label[label]
+        if (up == label).all():
+            break
+        label = up
+    open_ = (label[x] != label[y]) | (least[y] == x)
+    return _forest(list(zip(far[open_].tolist(), x[open_].tolist(), y[open_].tolist(), strict=True)), m)
+
+
+_DEALT = ["token", "c0", "c1", "set", "n", "pos", "signature", "side"]
+
+
+def _first_chunks(blocks: DataFrame, chunk: int) -> DataFrame:
+    """A block's rows as they are; of a block above `chunk` sets each row in a chunk by either of two hashes."""
     chunks = F.ceil(F.col("size") / F.lit(chunk)).cast("int")
-    own = F.pmod(F.xxhash64("set"), F.col("chunks")).cast("int")
-    dealt = (
-        blocks.withColumn("chunks", chunks)
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .withColumns({"c0": F.least("own", "other"), "c1": F.greatest("own", "other")})
-        .withColumn("side", F.when(F.col("c0") == F.col("c1"), 2).when(F.col("own") == F.col("c0"), 0).otherwise(1))
-    )
-    names = ["token", "c0", "c1", "set", "n", "pos", "signature", "side"] + ["comp"] * everything
+    parts = [F.pmod(F.xxhash64("set"), chunks).cast("int"), chunks + F.pmod(F.xxhash64("set", F.lit(1)), chunks).cast("int")]
+    dealt = blocks.withColumn("c0", F.explode(F.when(F.col("size") > chunk, F.array(*parts)).otherwise(F.array(F.lit(0)))))
+    return dealt.withColumns({"c1": F.col("c0"), "side": F.lit(2)})
+
+
+def _open_chunks(blocks: DataFrame, chunk: int) -> DataFrame:
+    """Rows of open blocks (with comp), dealt so that all sets of different components of a block meet.
+
+    A block above `chunk` sets is cut: chunks of its largest component meet all chunks of its other sets, and these
+    meet each other.
+    """
+    whole = blocks.where(F.col("size") <= chunk).withColumns({"c0": F.lit(0), "c1": F.lit(0), "side": F.lit(2)})
+    large = blocks.where(F.col("size") > chunk)
+    per = large.groupBy("token", "comp").agg(F.count("*").alias("k"))
+    main = per.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("top")).select("token", F.col("top.comp").alias("main"), F.col("top.k").alias("k"))
+    own = F.col("comp") == F.col("main")
+    chunks = {True: F.ceil(F.col("k") / F.lit(chunk)).cast("int"), False: F.greatest(F.ceil((F.col("size") - F.col("k")) / F.lit(chunk)), F.lit(1)).cast("int")}
+    cut = large.join(main, "token").withColumns({"main": own, "ours": F.pmod(F.xxhash64("set"), F.when(own, chunks[True]).otherwise(chunks[False])).cast("int"), "m": chunks[True], "o": chunks[False]})
+    # c0 below zero: the main component's chunk (side 0) against one of the others (side 1)
+    rest = [c for c in blocks.columns if c != "comp"]
+    first = cut.where("main").withColumn("c1", F.explode(F.sequence(F.lit(0), F.col("o") - 1))).select(*rest, "comp", (-1 - F.col("ours")).alias("c0"), "c1", F.lit(0).alias("side"))
+    second = cut.where("not main").withColumn("c0", F.explode(F.sequence(-F.col("m"), F.lit(-1)))).select(*rest, "comp", "c0", F.col("ours").alias("c1"), F.lit(1).alias("side"))
+    third = cut.where("not main").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("o") - 1))).withColumns({"c0": F.least("ours", "other"), "c1": F.greatest("ours", "other")})
+    third = third.select(*rest, "comp", "c0", "c1", F.when(F.col("c0") == F.col("c1"), 2).when(F.col("ours") == F.col("c0"), 0).otherwise(1).alias("side"))
+    return whole.select(*rest, "comp", "c0", "c1", "side").unionByName(first).unionByName(second).unionByName(third)
+
+
+def _pairs(dealt: DataFrame, percent: int, few: int | None = None) -> DataFrame:
+    """token, a, b, more: pairs that the chunks hand on, and whether a chunk holds back some. With a column `comp`, the
+    `few` nearest between each component and others; else forests."""
+    known = "comp" in dealt.columns
+    names = _DEALT + ["comp"] * known
 
     def join(batches):
         held, key = [], None
 
         def flush():
             cols = list(zip(*held, strict=True))
-            sign = np.frombuffer(b"".join(cols[6]), np.uint64).reshape(len(held), -1)
-            got = _block_pairs(np.asarray(cols[4]), np.asarray(cols[5]), sign, np.asarray(cols[7]), percent, cols[8] if everything else None)
-            return [(key[0], min(cols[3][x], cols[3][y]), max(cols[3][x], cols[3][y])) for x, y in got]
+            sign = [np.frombuffer(x, np.uint64) for x in cols[6]]
+            comp = cols[8] if known else None
+            got = _block_pairs(np.asarray(cols[4]), np.asarray(cols[5]), sign, np.asarray(cols[7]), percent, comp, few)
+            # a chunk holds back nothing if no component has used its share
+            used: dict = {}
+            if known and few is not None:
+                for x, y in got:
+                    for c in (comp[x], comp[y]):
+                        used[c] = used.get(c, 0) + 1
+            more = max(used.values(), default=0) >= (few or 1)
+            return [(key[0], min(cols[3][x], cols[3][y]), max(cols[3][x], cols[3][y]), more) for x, y in got]
 
         def batch_of(rows):
-            t, a, b = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["token", "a", "b"])
+            t, a, b, more = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(more, pa.bool_())], names=["token", "a", "b", "more"])
 
         made = []
-        for batch in batches:
+        for batch in small_batches(batches):
             for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
                 if row[:3] != key:
                     if len(held) > 1:
@@ -246,23 +357,26 @@ def _pairs(blocks: DataFrame, percent: int, chunk: int, everything: bool) -> Dat
         if made:
             yield batch_of(made)
 
-    return dealt.select(names).repartition("token", "c0", "c1").sortWithinPartitions("token", "c0", "c1", "set").mapInArrow(join, "token long, a binary, b binary")
+    return dealt.select(names).repartition("token", "c0", "c1").sortWithinPartitions("token", "c0", "c1", "set").mapInArrow(join, "token long, a binary, b binary, more boolean")
 
 
-def _texts_of(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """set, text: the text of the first document of each set in `pairs`, compressed.
+def _texts_of(sets: DataFrame, docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
+    """set, text: a text of each of `sets` (set), compressed.
 
-    Few sets are sent to the scan, so other texts are not shuffled; many meet the texts in a shuffle.
+    Few sets are sent to the scan, so other texts are not shuffled; many meet the texts in a shuffle. A text is found by id
+    and fingerprint, and is taken only if its shingles are the set's own.
     """
-    ends = durable(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(reps.select("set", "doc_id"), "set"))
-    own = docs.select("doc_id", "text").where(F.col("text").isNotNull())
+    ends = durable(sets.join(reps.select("set", "row"), "set").select("set", F.col("row.doc_id").alias("id"), F.col("row.print").alias("own")))
+    plain = _plain(docs).where(F.col("text").isNotNull())
 
     def pack(batches):
         for batch in small_batches(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.compress(raw.tobytes()) for _, raw in texts(batch.column(1))], pa.binary())], names=["set", "text"])
+            keys = batch.column(0).to_pylist()
+            kept = [(keys[i], zlib.compress(raw.tobytes())) for i, raw in texts(batch.column(1)) if _key(shingles(raw, words)) == keys[i]]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in kept], pa.binary()), pa.array([t for _, t in kept], pa.binary())], names=["set", "text"])
 
-    packed = own.join(checked_broadcast(ends), "doc_id").select("set", F.col("text").cast("string")).mapInArrow(pack, "set binary, text binary")
-    return packed.groupBy("set").agg(F.min("text").alias("text"))  # rows that repeat an id
+    packed = plain.join(checked_broadcast(ends), F.col("print").eqNullSafe(F.col("own")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("set", "text").mapInArrow(pack, "set binary, text binary")
+    return packed.groupBy("set").agg(F.min("text").alias("text"))  # rows that are repeated
 
 
 def _unpacked(text: bytes) -> np.ndarray:
@@ -280,7 +394,7 @@ def _verify(pairs: DataFrame, held: DataFrame, words: int, percent: int) -> Data
                 if last[0] != key:
                     last = key, shingles(_unpacked(x), words)
                 p, q = last[1], shingles(_unpacked(y), words)
-                both = len(p) + len(q) - len(np.union1d(p, q))
+                both = len(np.intersect1d(p, q, assume_unique=True))
                 linked.append(100 * both >= percent * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
@@ -344,60 +458,94 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return ends.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def _linked(steps: Scratch, reps: DataFrame, docs: DataFrame, words: int, percent: int, chunk: int) -> DataFrame:
-    """set, comp of the sets that have links."""
+def _blocks(reps: DataFrame) -> DataFrame:
+    """token, size, set, pos: the sets that each shingle indexes, of shingles that index the same sets only the smallest."""
     postings = reps.select("set", F.posexplode("prefix").alias("pos", "token"))
-    shared = postings.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
+    # a shingle indexes a set once, so two 64-bit sums without carry tell its sets
+    shared = postings.groupBy("token").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("set")).alias("h"), F.bit_xor(F.xxhash64("set", F.lit(1))).alias("g")).where("size > 1")
+    kept = durable(shared.groupBy("size", "h", "g").agg(F.min("token").alias("token")).select("token", "size"))
     # one row a token against its sets: Spark splits a token that most sets share
-    blocks = steps.table("blocks", postings.join(shared, "token"))
-    about = reps.select("set", "n", "signature")
-
-    pairs = steps.table("pairs", _pairs(blocks.join(about, "set"), percent, chunk, everything=False))
-    held = steps.table("held", _texts_of(pairs, docs, reps))
-    told = durable(_verify(durable(pairs.select("a", "b").distinct()), held, words, percent))
-    links = told.where("linked").select("a", "b")
-    comp = components(links)
-    # a failed pair matters only if no other links connect its ends
-    failed = _apart(told.where("not linked").select("a", "b"), comp)
-    again = durable(pairs.join(failed, ["a", "b"], "left_semi").select("token").distinct())
-    if not again.isEmpty():
-        open_blocks = blocks.join(checked_broadcast(again), "token", "left_semi").join(about, "set").join(comp, "set", "left").withColumn("comp", F.coalesce("comp", "set"))
-        rest = durable(_pairs(open_blocks, percent, chunk, everything=True).select("a", "b").distinct().join(told.select("a", "b"), ["a", "b"], "left_anti"))
-        if not rest.isEmpty():
-            # a set that passes the filters in a block is in that block's forest, so its text is held already
-            more = durable(_verify(rest, held, words, percent)).where("linked").select("a", "b")
-            comp = components(links.unionByName(more))
-    return comp
+    return postings.join(checked_broadcast(kept), "token")
 
 
-def near_copies(docs: DataFrame, words: int = 5, percent: int = 80, chunk: int = 1024) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of `docs` (doc_id, text): one component links 100 |x & y| >= percent |x | y|."""
+def _linked(steps: Scratch, reps: DataFrame, docs: DataFrame, words: int, percent: int, chunk: int, few: int = 4) -> DataFrame:
+    """set, comp of the sets that have links."""
+    blocks = steps.table("blocks", _blocks(reps))
+    about = reps.select("set", "n", "signature")
+    pairs = steps.table("pairs", _pairs(_first_chunks(blocks.join(about, "set"), chunk), percent))
+    new = durable(pairs.select("a", "b").distinct())
+    told = held = None
+    turn = 0
+    while True:
+        ends = new.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+        ends = ends if held is None else durable(ends.join(held.select("set"), "set", "left_anti"))
+        if held is None or not ends.isEmpty():
+            texts_ = steps.table(f"held{turn}", _texts_of(ends, docs, reps, words))
+            held = texts_ if held is None else held.unionByName(texts_)
+        found = durable(_verify(new, held, words, percent))
+        told = found if told is None else told.unionByName(found)
+        comp = components(told.where("linked").select("a", "b"))
+        if turn == 0:
+            # a failed pair matters only if no other links connect its ends; chunks of a large block may hide one
+            failed = _apart(told.where("not linked").select("a", "b"), comp)
+            tokens = pairs.join(failed, ["a", "b"], "left_semi").select("token").unionByName(blocks.where(F.col("size") > chunk).select("token")).distinct()
+        else:
+            tokens = pairs.where("more").select("token").distinct()
+        inside = blocks.join(checked_broadcast(durable(tokens)), "token", "left_semi").join(comp, "set", "left").withColumn("comp", F.coalesce("comp", "set"))
+        several = durable(inside.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("token"))
+        if several.isEmpty():
+            return comp
+        steps.drop(f"open{turn - 1}")
+        open_ = steps.table(f"open{turn}", inside.join(checked_broadcast(several), "token", "left_semi"))
+        pairs = steps.table(f"pairs{turn}", _pairs(_open_chunks(open_.join(about, "set"), chunk), percent, few))
+        new = durable(pairs.select("a", "b").distinct().join(told.select("a", "b"), ["a", "b"], "left_anti"))
+        turn, few = turn + 1, 8 * few
+
+
+def _members(docs: DataFrame, words: int, percent: int, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, print, n and set of each row; and for each set the first row (doc_id, print) and the smallest id of its component."""
     steps = Scratch(docs.sparkSession)
     try:
         wide = steps.table("wide", shingle_sets(docs, words, percent))
-        reps = steps.table("reps", wide.where(F.col("set").isNotNull()).groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.any_value("signature").alias("signature")))
-        sets = durable(wide.select("doc_id", "n", "set"))
+        # the smallest row, those without an id last
+        row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")).alias("row")
+        reps = steps.table("reps", wide.where(F.col("set").isNotNull()).groupBy("set").agg(row, F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.any_value("signature").alias("signature")))
+        sets = durable(wide.select("doc_id", "print", "n", "set"))
         steps.drop("wide")
-        firsts = durable(reps.select("set", "doc_id"))
+        firsts = durable(reps.select("set", "row"))
         comp = _linked(steps, reps, docs, words, percent, chunk)
     finally:
         steps.drop()
     member = firsts.join(comp, "set", "left").withColumn("comp", F.coalesce("comp", "set"))
-    smallest = member.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    by_set = member.select("set", "comp").join(smallest, "comp").select("set", "component_id")
-    return salted_join(sets.select("doc_id", F.col("n").alias("n_shingles"), "set"), by_set, "set").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    smallest = member.groupBy("comp").agg(F.min("row").alias("first"))
+    return sets, member.select("set", "comp").join(smallest, "comp").select("set", "first")
 
 
-def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The document of each component with the smallest doc_id; of rows that repeat it whole, one stays. Null ids stay."""
-    found = durable(near_copies(docs, words, percent).where(F.col("doc_id").isNotNull()).select("doc_id", "component_id"))
-    gone = durable(found.where("doc_id != component_id").select("doc_id").distinct())
-    kept = docs.join(checked_broadcast(gone), "doc_id", "left_anti")
-    twice = durable(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+def near_copies(docs: DataFrame, words: int = 5, percent: int = 80, chunk: int = 1024) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of `docs` (doc_id, text): one component links 100 |x & y| >= percent |x | y|."""
+    sets, by_set = _members(docs, words, percent, chunk)
+    joined = salted_join(sets.select("doc_id", F.col("n").alias("n_shingles"), "set"), by_set.select("set", F.col("first.doc_id").alias("component_id")), "set")
+    return joined.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80, chunk: int = 1024) -> DataFrame:
+    """One row of each component: that with the smallest doc_id, null last, then the smallest text hash. Texts without words
+    stay; of rows that repeat an id and its text one stays."""
+    sets, by_set = _members(docs, words, percent, chunk)
+    rows = durable(salted_join(sets.select("doc_id", "print", "set"), by_set, "set"))
+    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("print") == F.col("first.print"))
+    alone = F.col("set").isNull()
+    names = unused(docs.columns, "gone_id", "gone_print")
+    named = [F.col(c).alias(n) for c, n in zip(("doc_id", "print"), names, strict=True)]
+    gone = durable(rows.where(~alone & ~own).select(*named).distinct())
+    # rows of one id and text are of one set; those that stay are told by both
+    twice = durable(rows.where(F.when(alone, F.col("doc_id").isNotNull()).otherwise(own)).groupBy("doc_id", "print").agg(F.count("*").alias("k")).where("k > 1").select(*named))
+    here = F.col("doc_id").cast("long").eqNullSafe(F.col(names[0])) & F.xxhash64(F.col("text").cast("string")).eqNullSafe(F.col(names[1]))
+    kept = docs.join(checked_broadcast(gone), here, "left_anti")
     if twice.isEmpty():
         return kept
     twice = checked_broadcast(twice)
-    return kept.join(twice, "doc_id", "left_anti").unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    return kept.join(twice, here, "left_anti").unionByName(kept.join(twice, here, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

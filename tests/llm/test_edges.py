@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for every operator and stage."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,11 +51,10 @@ def brute(texts, k, percent):
         w = [x.lower() for x in (t or "").split()]
         sets.append({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set())
     comp = list(range(len(sets)))
+    links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if a and b and 100 * len(a & b) >= percent * len(a | b)]
     for _ in sets:
-        for i, a in enumerate(sets):
-            for j, b in enumerate(sets):
-                if a and b and 100 * len(a & b) >= percent * len(a | b):
-                    comp[i] = comp[j] = min(comp[i], comp[j])
+        for i, j in links:
+            comp[i] = comp[j] = min(comp[i], comp[j])
     return [len(s) for s in sets], comp
 
 
@@ -73,6 +74,38 @@ def test_jaccard(spark, words, percent):
     assert kept == set(comp)
 
 
+def test_jaccard_ids(spark):
+    """Null ids, and one id on other texts, are linked by each row's own text."""
+    a = " ".join(f"w{i}" for i in range(60))
+    near = a + " more"
+    b, c = ("b " + " ".join(f"{x}{i}" for i in range(50)) for x in "uv")
+    texts = [(1, a), (1, c), (2, near), (None, near + " words"), (None, c), (3, c + " x"), (None, None), (7, c), (7, c), (8, b), (8, a), (None, b + " x")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in jaccard.near_copies(df, 3, 90).collect())
+    assert got == sorted([("1", 58, "1"), ("1", 49, "1"), ("2", 59, "1"), ("None", 60, "1"), ("None", 49, "1"), ("3", 50, "1"), ("None", 0, "None"), ("7", 49, "1"), ("7", 49, "1"), ("8", 49, "8"), ("8", 58, "1"), ("None", 50, "8")])
+    kept = sorted((str(r["doc_id"]), r["text"] or "") for r in jaccard.drop_near_copies(df, 3, 90).collect())
+    assert kept == sorted([("1", a), ("1", c), ("8", b), ("None", "")])
+
+
+def test_jaccard_where_many_pairs_fail(spark, chunk=6):
+    """Blocks full of pairs near the threshold on either side, and of large sets whose bitmaps say little."""
+    rng = random.Random(chunk)
+    texts = []
+    for size, copies, edits in ((40, 40, 2), (400, 25, 25), (3000, 12, 110)):
+        base = [f"{size}w{rng.randrange(size * 5)}" for _ in range(size)]
+        for _ in range(copies):
+            own = base[:]
+            for i in rng.sample(range(size // 4, size), rng.randrange(edits + 1)):
+                own[i] = f"x{rng.randrange(10**9)}"
+            texts.append(" ".join(own))
+    rng.shuffle(texts)
+    size, comp = brute(texts, 3, 80)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_copies(df, 3, 80, chunk=chunk).collect()}
+    assert got == {i: (size[i], comp[i]) for i in range(len(texts))}
+    assert 3 < len(set(comp)) < len(texts) - 3
+
+
 def test_components_in_tables(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100 + i, 100) for i in range(1, 9)] + [(200, 201), (201, 200), (7, 7)]
     links = spark.createDataFrame([(bytes([a]), bytes([b])) for a, b in chain if max(a, b) < 256], "a binary, b binary")

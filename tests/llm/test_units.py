@@ -290,6 +290,27 @@ def test_viterbi_is_the_best_sequence():
         assert np.isclose(value(tuple(html_text.decode(s, t))), max(value(y) for y in np.ndindex(*(2,) * 7)))
 
 
+def test_bitmaps_of_other_widths():
+    """The distance of folded bitmaps is never above the difference, and equals a plain count."""
+    rng = np.random.default_rng(6)
+    sets = [rng.integers(1, 2**62, n, dtype=np.uint64) for n in (30, 160, 200, 230, 300, 420, 430, 900, 2000)]
+    sign = [np.frombuffer(jaccard._signature(x), np.uint64) for x in sets]
+    assert len({len(x) for x in sign}) > 4
+    maps = jaccard._Bitmaps(sign)
+    i, j = np.asarray([(i, j) for j in range(len(sets)) for i in range(j)]).T
+    for x, y, far in zip(i, j, maps.distances(i, j), strict=True):
+        bits = 64 * min(len(sign[x]), len(sign[y]))
+        odd = [np.bincount((s % np.uint64(bits)).astype(int), minlength=bits) % 2 for s in (sets[x], sets[y])]
+        assert far == (odd[0] != odd[1]).sum() == jaccard._distance(sign[x].tobytes(), sign[y].tobytes()) <= len(np.setxor1d(sets[x], sets[y]))
+
+
+def test_nearest_pairs_by_component():
+    pairs, comp = [(d, 0, d) for d in range(1, 9)], [0, 1, 1, 1, 2, 2, 3, 4, 5]
+    assert jaccard._nearest(pairs, comp, None) == [(0, d) for d in range(1, 9)]
+    assert jaccard._nearest(pairs, comp, 2) == [(0, 1), (0, 2), (0, 4), (0, 5), (0, 6), (0, 7), (0, 8)]
+    assert jaccard._nearest(pairs, [0] + [1] * 8, 3) == [(0, 1), (0, 2), (0, 3)]
+
+
 @pytest.mark.parametrize("percent", [80, 90])
 def test_filters_lose_no_pair(percent):
     rng = np.random.default_rng(percent)
