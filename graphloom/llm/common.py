@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import os
+import re
 import tempfile
 import uuid
 
@@ -206,6 +207,23 @@ def small_batches(batches, limit: int = 8 << 20):
             yield batch.slice(at, step)
 
 
+#: Rows of a batch between the JVM and Python. Texts may be very long, so few at once; a batch also ends at BATCH_BYTES.
+BATCH_ROWS = 512
+BATCH_BYTES = 8 << 20
+
+
+def in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """`df.mapInArrow` with batches of bounded size: the session's limits on rows and bytes of a batch are lowered, if above,
+    and stay so, as plans read them when they run. Batches of Spark's 10,000 rows would be held several times in an executor."""
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = int(re.sub(r"[^0-9-]", "", conf.get(name)) or 0)
+        if not 0 < now <= most:
+            conf.set(name, most)
+    return df.mapInArrow(run, schema)
+
+
 def map_texts(df: DataFrame, compute, fields: str, carry: list[str], text: str = "text") -> DataFrame:
     """Columns `carry` of `df` with new columns `fields` (DDL), which `compute` makes of Arrow string arrays.
 
@@ -224,7 +242,7 @@ def map_texts(df: DataFrame, compute, fields: str, carry: list[str], text: str =
             made = compute(table_.column(len(carry)).combine_chunks())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], *made], names=[*carry, *new.names])
 
-    return own.mapInArrow(run, schema)
+    return in_arrow(own, run, schema)
 
 
 def crc_fold(n: int, column: str = "doc_id"):

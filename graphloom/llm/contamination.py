@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checked_broadcast, durable, mix, small_batches, table, texts, word_hashes
+from .common import checked_broadcast, durable, in_arrow, mix, small_batches, table, texts, word_hashes
 
 K1, B = 1.2, 0.75
 BLOCK = 8
@@ -264,7 +264,7 @@ def _counts(items: DataFrame, part) -> tuple[int, float, DataFrame]:
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (parts, words, sizes)], names=["part", "word", "size"])
 
-    rows = items.select(part.cast("int").alias("part"), F.col("question").cast("string"), F.col("answer").cast("string")).mapInArrow(own_words, "part int, word long, size long")
+    rows = in_arrow(items.select(part.cast("int").alias("part"), F.col("question").cast("string"), F.col("answer").cast("string")), own_words, "part int, word long, size long")
     words = durable(rows.groupBy("part", "word").agg(F.count("*").alias("n"), F.sum((F.col("size") > 0).cast("long")).alias("items"), F.sum("size").alias("size")))
     total = words.agg(F.sum("items").alias("n"), F.sum("size").alias("size")).first()
     held = words.select("part", "word", F.sum("n").over(Window.partitionBy("word")).alias("n"))  # a word has a row for each part at most
@@ -303,7 +303,7 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, question: str = "te
                     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "passage"])
 
-        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scan, schema)
+        part = in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), scan, schema)
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, checked_broadcast, durable, mix, salted_join, small_batches, table, texts, unused, word_hashes
+from .common import Scratch, checked_broadcast, durable, in_arrow, mix, salted_join, small_batches, table, texts, unused, word_hashes
 
 SMALL = 6
 SKETCH_BITS = 20
@@ -82,7 +82,7 @@ def _sketch(docs: DataFrame, k: int) -> np.ndarray:
                 total += np.frombuffer(x, "<u2" if len(x) == 2 * width else "<u8").astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.round(4 * np.log2(total + 1)).astype(np.uint8).tobytes()], pa.binary())], names=["part", "classes"])
 
-    got = docs.select("text").mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, classes binary").collect()  # 256 rows of 4 KB
+    got = in_arrow(docs.select("text"), count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, classes binary").collect()  # 256 rows of 4 KB
     out = np.zeros((parts, width), np.uint8)
     for r in got:
         out[r["part"]] = np.frombuffer(r["classes"], np.uint8)
@@ -140,7 +140,7 @@ def shingle_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     signs.append(None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(signs, pa.binary())], names=["doc_id", "print", "n", "set", "prefix", "signature"])
 
-    return _plain(docs).mapInArrow(build, "doc_id long, print long, n long, set binary, prefix array<long>, signature binary")
+    return in_arrow(_plain(docs), build, "doc_id long, print long, n long, set binary, prefix array<long>, signature binary")
 
 
 def _plain(docs: DataFrame) -> DataFrame:
@@ -375,7 +375,8 @@ def _texts_of(sets: DataFrame, docs: DataFrame, reps: DataFrame, words: int) ->
             kept = [(keys[i], zlib.compress(raw.tobytes())) for i, raw in texts(batch.column(1)) if _key(shingles(raw, words)) == keys[i]]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in kept], pa.binary()), pa.array([t for _, t in kept], pa.binary())], names=["set", "text"])
 
-    packed = plain.join(checked_broadcast(ends), F.col("print").eqNullSafe(F.col("own")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("set", "text").mapInArrow(pack, "set binary, text binary")
+    own = plain.join(checked_broadcast(ends), F.col("print").eqNullSafe(F.col("own")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("set", "text")
+    packed = in_arrow(own, pack, "set binary, text binary")
     return packed.groupBy("set").agg(F.min("text").alias("text"))  # rows that are repeated
 
 
@@ -402,7 +403,7 @@ def _verify(pairs: DataFrame, held: DataFrame, words: int, percent: int) -> Data
     known = checked_broadcast(pairs.select("a", "b"))
     first = held.select(F.col("set").alias("a"), F.col("text").alias("ta")).join(known, "a")
     second = held.select(F.col("set").alias("b"), F.col("text").alias("tb")).join(known, "b")
-    return first.join(second, ["a", "b"]).select("a", "b", "ta", "tb").mapInArrow(count, "a binary, b binary, linked boolean")
+    return in_arrow(first.join(second, ["a", "b"]).select("a", "b", "ta", "tb"), count, "a binary, b binary, linked boolean")
 
 
 def components(links: DataFrame, in_one_task: int = 500_000) -> DataFrame:
