@@ -2,14 +2,17 @@
 
 Sources get integer numbers of blocks ("seats") by highest quotients target / (2 k + 1). Every source's documents are
 dealt to shards by a hash of their id; a second apportionment gives each shard its quota of the source's blocks. In a
-shard the documents stand in a seeded order, end to end, and are cut into blocks of `block_tokens` words; the quota is
-spread over the blocks from a seeded start, so a block is used floor or ceil (quota / blocks) times.
+shard the documents stand in a seeded order, end to end, and are cut into blocks of `block_tokens` words, or fewer, so that
+the smallest source has `least_blocks`: its short last block then weighs little. The quota is spread over the blocks from a
+seeded start, so a block is used floor or ceil (quota / blocks) times.
 
 Only one row for each source and each shard comes to the driver: sources are bounded by the weights that a mixture
 names, shards by `max_shards`. Shards are windows of bounded size however large one source is.
 
 Defined results: a null or empty text has size 0 and takes 0; null is a source of its own, ordered last; an empty table
-gives no rows; repeated rows and equal ids are separate documents that lie side by side; extra columns are ignored.
+gives no rows; repeated rows and equal ids are separate documents, dealt by id and text, so null ids spread over all shards
+and reruns take the same words of each text; very long texts are counted whole and may span shards' blocks as any other;
+extra columns are ignored, and a column of `keep` that has the name of a result gives way to it.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, durable, table
+from .common import WORD, durable, table, unused
 
 CYCLE = (3.0, 1.0, 2.0)
 
@@ -90,6 +93,7 @@ def mix_sources(
     share: float = 1.5,
     most: float = 2.0,
     block_tokens: int = 32,
+    least_blocks: int = 64,
     shard_tokens: int = 1 << 20,
     max_shards: int = 1 << 16,
     seed: int = 17,
@@ -101,7 +105,11 @@ def mix_sources(
     """
     if most > 2:
         raise ValueError("blocks are used twice at most")
-    sized = durable(docs.select("doc_id", "source", *[c for c in keep if c not in ("doc_id", "source")], F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
+    made = ("size", "source_size", "target", "taken")
+    keep = [c for c in keep if c not in made]
+    inner = unused(list(keep), "print_of_text", "sid", "shard", "parts", "name", "stop", "quota", "blocks")
+    mark, sid, shard, n_parts, name, end, n_quota, n_blocks = inner
+    sized = durable(docs.select("doc_id", "source", *[c for c in keep if c not in ("doc_id", "source")], F.xxhash64("text").alias(mark), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
     # one row for each source; the mixture's own weights are as many
     per = sized.groupBy("source").agg(F.sum("size").alias("n")).collect()
     per.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-32-be")))
@@ -111,11 +119,12 @@ def mix_sources(
     width = max(shard_tokens, -(-total // max_shards))
     parts = [max(1, -(-n // width)) for n in sizes]
 
+    block_tokens = min(block_tokens, max(1, min((n for n in sizes if n > 0), default=0) // least_blocks))
     spark = docs.sparkSession
-    plan = spark.createDataFrame([(i, n, int(s), float(t), int(p)) for i, (n, s, t, p) in enumerate(zip(names, sizes, aims, parts, strict=True))], "sid int, name string, source_size long, target double, parts int")
+    plan = spark.createDataFrame([(i, n, int(s), float(t), int(p)) for i, (n, s, t, p) in enumerate(zip(names, sizes, aims, parts, strict=True))], f"{sid} int, {name} string, source_size long, target double, {n_parts} int")
     # a row for each source, as small as the mixture's weights
-    dealt = sized.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("name"))).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("parts")).cast("int"))
-    shards = dealt.groupBy("sid", "shard").agg(F.sum("size").alias("n")).orderBy("sid", "shard").collect()  # at most max_shards and a row for each source
+    dealt = sized.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col(name))).withColumn(shard, F.pmod(F.xxhash64(F.lit(seed), "doc_id", mark), F.col(n_parts)).cast("int"))
+    shards = dealt.groupBy(F.col(sid).alias("sid"), F.col(shard).alias("shard")).agg(F.sum("size").alias("n")).orderBy("sid", "shard").collect()  # at most max_shards and a row for each source
 
     blocks = [-(-int(r["n"]) // block_tokens) for r in shards]
     by_source: dict[int, list[int]] = {}
@@ -127,16 +136,16 @@ def mix_sources(
     for i, own in by_source.items():
         for k, q in zip(own, sainte_lague([int(shards[k]["n"]) for k in own], seats[i], [2 * blocks[k] for k in own]), strict=True):
             quota[k] = q
-    quotas = spark.createDataFrame([(int(r["sid"]), int(r["shard"]), int(q), int(b)) for r, q, b in zip(shards, quota, blocks, strict=True)], "sid int, shard int, quota long, blocks long")
+    quotas = spark.createDataFrame([(int(r["sid"]), int(r["shard"]), int(q), int(b)) for r, q, b in zip(shards, quota, blocks, strict=True)], f"{sid} int, {shard} int, {n_quota} long, {n_blocks} long")
 
-    order = Window.partitionBy("sid", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    laid = dealt.withColumn("stop", F.sum("size").over(order)).join(F.broadcast(quotas), ["sid", "shard"])
-    start, stop = F.col("stop") - F.col("size"), F.col("stop")
+    order = Window.partitionBy(sid, shard).orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", mark), "doc_id", mark, "size").rowsBetween(Window.unboundedPreceding, 0)
+    laid = dealt.withColumn(end, F.sum("size").over(order)).join(F.broadcast(quotas), [sid, shard])
+    start, stop = F.col(end) - F.col("size"), F.col(end)
     # uses of blocks 0 .. b - 1 from a seeded start: whole numbers throughout, so reruns agree
-    turn = F.pmod(F.xxhash64(F.lit(seed + 2), "sid", "shard"), F.greatest(F.col("blocks"), F.lit(1)))
+    turn = F.pmod(F.xxhash64(F.lit(seed + 2), sid, shard), F.greatest(F.col(n_blocks), F.lit(1)))
 
     def used(b):
-        return F.floor((b * F.col("quota") + turn) / F.greatest(F.col("blocks"), F.lit(1))).cast("long")
+        return F.floor((b * F.col(n_quota) + turn) / F.greatest(F.col(n_blocks), F.lit(1))).cast("long")
 
     def words_before(x):
         """Words the mix takes of the shard's first x words."""

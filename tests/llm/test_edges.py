@@ -45,6 +45,25 @@ def test_mix(spark, docs, none, odd):
     assert mixing.mix_sources(odd).count() == len(rows())
 
 
+def test_mix_of_small_sources(spark):
+    """Taken words are near their target for sources of a few words too; null and repeated ids are dealt by text."""
+    rng = random.Random(3)
+    for sizes in ((100, 100, 100), (40, 40, 40), (20, 20, 20), (5, 5, 5), (1, 2, 3), (7, 200, 3000), (1, 1, 20_000)):
+        docs = []
+        for k, size in enumerate(sizes):
+            while size:
+                n = min(size, rng.randrange(1, 30))
+                docs.append((rng.choice([None, 1, len(docs)]), "abc"[k], f"t{len(docs)} " * n))
+                size -= n
+        df = spark.createDataFrame(docs, "doc_id long, source string, text string")
+        got = mixing.mix_sources(df, keep=("text", "size")).collect()
+        assert len(got) == len(docs) and len(got[0]) == 6
+        for source in "abc":
+            own = [r for r in got if docs[[t for _, _, t in docs].index(r["text"])][1] == source]
+            assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 1 and all(0 <= r["taken"] <= 2 * r["size"] for r in own)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix_sources(df.repartition(3), keep=("text", "size")).collect()))
+
+
 def brute(texts, k, percent):
     sets = []
     for t in texts:
