@@ -4,7 +4,7 @@ Strong parts (assignments to secret names, access key identifiers, long hex runs
 parts (user or client identifiers, endpoints, random-looking keys) say little alone: they are joined as intervals with
 complementary parts in the same scope, and reported only if linked. A scope is a stretch of text between blank lines. In
 a scope of several lines all parts link; in one running line, two link if no more than `reach` code points lie between them. Complementary are identifier and secret, endpoint and
-secret, and an endpoint or identifier with a random-looking key, which then counts as a secret; a key that is a value in
+secret other than a bare hex run, and an endpoint or identifier with a random-looking key, which then counts as a secret; a key that is a value in
 an endpoint's own query links with it.
 
 Texts are scanned whole. Every pattern takes time linear in the text, the join sorts a document's own parts and sweeps them.
@@ -97,7 +97,8 @@ def linked_spans(text: str, strong: list[tuple[str, int, int]], reach: int = 300
         return lines[k]
 
     found = []
-    for part, others in ((idents, secrets), (endpoints, secrets), (keys, idents + endpoints + access)):
+    named = [s for s in secrets if s[0] != "hex"]  # a digest near an address is no credential
+    for part, others in ((idents, secrets), (endpoints, named), (keys, idents + endpoints + access)):
         others = sorted((o[1], o[2]) for o in others)
         first, last = [o[0] for o in others], sorted(o[1] for o in others)
         for s in part:
