@@ -5,7 +5,8 @@ and class or id words of a block's ancestors and properties of its text; the fie
 weights for neighbouring labels, and Viterbi picks the best sequence. Training pages with labelled blocks are made by a
 rule in this module: many layouts of articles among menus, headers, footers, sidebars, notices, adverts, forms, comments.
 
-Scripts, styles, comments, templates and the head are no blocks. Pages are read whole, in time linear in their length.
+Scripts, styles, comments, templates and the head are no blocks. Pages are read whole, in time linear in their length;
+elements of any number and depth, attributes of any length and blocks of any length are read alike.
 
 Defined results: a null or empty page, or one without a main block, gives an empty text; a page that is cut off or misnested
 is read as far as it goes, open elements end with it; plain text is one block; repeated rows are read each for itself; an
@@ -24,15 +25,18 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, table
 
-#: Attribute values of any length. Nothing is given back, and a scan that fails ends where a later one of three would begin anew, so a page takes linear time.
-_TAG = re.compile(r"<!--(?:.*?--!?>|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/<>\"']*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s=<>"'/]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?+|"[^"]*+"?|'[^']*+'?""")
+#: Quotes count after "=" only. Values have any length; nothing is given back, and a scan that fails ends where the next begins, so a page takes linear time.
+_TAG = re.compile(r"<!--(?:.*?--!?>|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/<>\"']*+)((?:[^<>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s<>\"'][^\s<>]*+)?+)*+)>", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s=<>/]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>][^\s>]*+)))?+""")
 _NAMED = re.compile(r"(?:^|\W)(?:class|id|role)$", re.I)
-_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("script style noscript template iframe svg math head title object canvas select option textarea".split())
-INLINE = frozenset("a abbr b bdi bdo cite code data dfn em font i kbd label mark q s samp small span strong sub sup time tt u var ins del big wbr img".split())
-_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in ("script", "style", "noscript", "template", "iframe", "svg", "math", "title", "object", "canvas", "select", "textarea")}
+INLINE = frozenset("a abbr b bdi bdo cite code data dfn em font i kbd label mark q s samp small span strong sub sup time tt u var ins del big wbr img math mi mn mo mrow msup msub mfrac msqrt mtext".split())
+_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in ("script", "style", "noscript", "template", "iframe", "svg", "title", "object", "canvas", "select", "textarea")}
+
+ENDS_P = frozenset("p div ul ol table section article h1 h2 h3 h4 h5 h6 blockquote pre form footer header nav aside main hr figure address dl".split())
+HOLDS_P = ("td", "th", "button", "caption")  # a paragraph outside is not ended by a block inside
+#: Elements that their next sibling ends, with those that hold a list of their own.
+SIBLINGS = {"li": ("ul", "ol", "menu"), "td": ("table",), "th": ("table",), "tr": ("table",), "dt": ("dl",), "dd": ("dl",)}
 
 TAGS = ("article", "main", "nav", "header", "footer", "aside", "form", "ul", "ol", "li", "table", "p", "h1", "h2", "h3", "h4", "div", "section", "blockquote", "pre", "figure", "figcaption", "button", "dl", "details", "address", "menu", "dialog", "fieldset", "body")
 #: Words of class, id and role attributes by what they speak for.
@@ -68,7 +72,8 @@ class Block:
 def blocks_of(page: str) -> list[Block]:
     """The leaf blocks of a page that hold text, in order, white space made single spaces."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset, frozenset, bool]] = [("", frozenset(), frozenset(), False)]  # tag, tag features, named features, hidden
+    stack: list[tuple[str, frozenset, frozenset, bool, str]] = [("", frozenset(), frozenset(), False, "")]  # tag, tag features, named features, in the head, innermost block element
+    open_: dict[str, list[int]] = {}  # places of the open elements of each name
     current: Block | None = None
     depth_a, at, n = 0, 0, len(page)
 
@@ -79,7 +84,7 @@ def blocks_of(page: str) -> list[Block]:
         if current is None:
             if piece.isspace():
                 return
-            current = Block(stack[-1][1], stack[-1][2], next((s[0] for s in reversed(stack) if s[0] not in INLINE), ""))
+            current = Block(stack[-1][1], stack[-1][2], stack[-1][4])
             out.append(current)
         piece = html.unescape(piece) if "&" in piece else piece
         current.pieces.append(piece)
@@ -88,8 +93,14 @@ def blocks_of(page: str) -> list[Block]:
 
     def close(k: int) -> None:
         nonlocal depth_a
-        depth_a -= sum(s[0] == "a" for s in stack[k:])
-        del stack[k:]
+        while len(stack) > k:
+            name = stack.pop()[0]
+            open_[name].pop()
+            depth_a -= name == "a"
+
+    def last(names) -> int:
+        """The place of the innermost open element of any of the names; 0 is none."""
+        return max((open_[x][-1] for x in names if open_.get(x)), default=0)
 
     while at < n:
         m = _TAG.search(page, at)
@@ -103,25 +114,17 @@ def blocks_of(page: str) -> list[Block]:
             continue
         name = name.lower()
         if m[1]:
-            for k in range(len(stack) - 1, max(0, len(stack) - 200), -1):
-                if stack[k][0] == name:
-                    close(k)
-                    break
+            if open_.get(name):
+                close(open_[name][-1])
             if name not in INLINE:
                 current = None
             continue
         if name not in INLINE:
             current = None
-            if name in ("p", "div", "ul", "ol", "table", "section", "article", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "form", "footer", "header", "nav", "aside", "main", "hr", "figure", "address", "dl") and any(s[0] == "p" for s in stack[-12:]):
-                k = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p")
-                close(k)  # a paragraph ends where a block begins
-            elif name == "li" or name in ("td", "th", "tr", "dt", "dd", "option"):
-                for k in range(len(stack) - 1, max(0, len(stack) - 8), -1):
-                    if stack[k][0] == name:
-                        close(k)
-                        break
-                    if stack[k][0] in ("ul", "ol", "table", "dl", "select"):
-                        break
+            if name in ENDS_P and last(("p",)) > last(HOLDS_P):
+                close(last(("p",)))  # a paragraph ends where a block begins
+            elif name in SIBLINGS and last((name,)) > last(SIBLINGS[name]):
+                close(last((name,)))
         if name in _END:
             if not m[3].endswith("/"):
                 stop = _END[name].search(page, at)
@@ -131,7 +134,7 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if name == "body":
             close(1)  # whatever of the head was left open
-        _, tags, named, hidden = stack[-1]
+        _, tags, named, in_head, block = stack[-1]
         if name in _TAG_AT and _TAG_AT[name] not in tags:
             tags = tags | {_TAG_AT[name]}
         attrs = m[3]
@@ -141,8 +144,8 @@ def blocks_of(page: str) -> list[Block]:
             found = {_NAMED_AT[w] for w in words if w in _NAMED_AT}
             if found and not found <= named:
                 named = named | found
-            hidden = hidden or any(k == "hidden" or k == "style" and _NO_DISPLAY.search(v) for k, v in pairs)
-        stack.append((name, tags, named, hidden or name == "head"))
+        open_.setdefault(name, []).append(len(stack))
+        stack.append((name, tags, named, in_head or name == "head", block if name in INLINE else name))
         depth_a += name == "a"
     kept = []
     for b in out:
@@ -168,7 +171,7 @@ def features(blocks: list[Block]) -> list[list[int]]:
         share = b.linked / max(1, len(t))
         f.append(x + (6 if share == 0 else 7 if share < 0.3 else 8 if share < 0.8 else 9))
         f.append(x + (10 if t[-1] in ".!?…:;\"”»" else 11))
-        if _CLUTTER.search(t if len(t) < 400 else t[:200] + " " + t[-200:]):
+        if _CLUTTER.search(t):
             f.append(x + (12 if words < 30 else 13))
         if any(c in t for c in ",;") and words >= 12:
             f.append(x + 14)

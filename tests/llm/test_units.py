@@ -173,6 +173,14 @@ def test_linking_without_blanks():
     assert found(f"https://api.example.com/{key}") == []
 
 
+def test_a_digest_near_an_address_is_no_credential():
+    digest, url = "da39a3ee5e6b4b0d3255bfef95601890afd80709", "see https://example.org/file.tar.gz"
+    text = f"{url}\nsha1 {digest}"
+    assert secrets.linked_spans(text, secrets.strong_spans(text)) == []
+    text = f"{url}\npassword=abc123def {digest}"
+    assert [s[0] for s in secrets.linked_spans(text, secrets.strong_spans(text))] == ["endpoint"]
+
+
 def test_linking_over_a_whole_block():
     key = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
     certificate = "\n".join("mii" * 21 for _ in range(40))
@@ -282,6 +290,24 @@ def test_html_long_attributes():
         assert len(html_text.blocks_of(broken * 50_000)) <= 1  # linear, or this does not end
 
 
+def test_html_of_any_shape():
+    m = dict(html_text.model())
+    page = "<html><body>{}<article><h1>The river</h1><p{}>One line of it, with several words in it.</p>{}<p>Next line of it, with words.</p></article><footer>&copy; x</footer></body></html>"
+    want = "The river One line of it, with several words in it.{} Next line of it, with words."
+    assert html_text.extract(page.format("", "", ""), m) == want.format("")
+    for attrs in (" data-x=it's", " title='a > b'", " title=\"it's\" class=x'y", " hidden", " style='display: none'", " a=b=c", " 'x'"):
+        assert html_text.extract(page.format("", attrs, ""), m) == want.format("")
+    inline = "<b><i>" * 2_500
+    assert html_text.extract(page.format(f"<nav>{inline}<a href=x>Home</a></nav>", "", ""), m) == want.format("")
+    assert html_text.extract(page.format("", "", "<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be a number here.</p>"), m) == want.format(" Let x=2 be a number here.")
+    long = "and so on, it went by the old town, " * 400 + "as we accept each cookie here, " + "and so on, it went by the old town, " * 400 + "to its end."
+    assert html_text.extract(page.format("", "", f"<p>{long}</p>"), m) == want.format(" " + long)
+    cells = "<table>" + "<tr><td>cell<td>other<td><p>in a cell" * 3 + "</table>"
+    assert [b.text for b in html_text.blocks_of(cells)] == ["cell", "other", "in a cell"] * 3
+    assert [(b.text, len(b.tags)) for b in html_text.blocks_of("<ul>" + "<li><span>one" * 30 + "</ul>")] == [("one", 2)] * 30
+    assert len(html_text.blocks_of("<b>" * 20_000 + "<p>x</p>" * 20_000)) == 20_000  # linear, or this does not end
+
+
 def test_viterbi_is_the_best_sequence():
     rng = np.random.default_rng(2)
     for _ in range(30):
