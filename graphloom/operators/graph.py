@@ -50,9 +50,14 @@ def tables_to_triples(table: DataFrame, spec: ClassSpec, graph: str = "instances
 
 
 def map_edges(edges: DataFrame, predicates: Mapping[str, str]) -> DataFrame:
-    """Edges (source_id, relationship, target_id) with their predicate; names without one are left out."""
-    names = edges.sparkSession.createDataFrame(list(predicates.items()), "relationship string, predicate string")
-    return edges.join(F.broadcast(names), "relationship")  # as many rows as the caller's mapping
+    """Edges (source_id, relationship, target_id) with their predicate; names without one are left out.
+
+    An expression and no join: a filter on the predicate reaches the edges' tables and prunes those of other names.
+    """
+    predicate = F.lit(None).cast("string")
+    for name, own in predicates.items():
+        predicate = F.when(F.col("relationship") == name, own).otherwise(predicate)
+    return edges.withColumn("predicate", predicate).where(F.col("predicate").isNotNull())
 
 
 def unmapped_edges(edges: DataFrame, predicates: Mapping[str, str]) -> DataFrame:
@@ -67,12 +72,17 @@ def edges_to_triples(edges: DataFrame, predicates: Mapping[str, str], prefix: st
     return mapped.select(entity_uri(F.col("source_id"), prefix).alias("subject"), "predicate", entity_uri(F.col("target_id"), prefix).alias("object"), F.lit("iri").alias("object_kind"), F.lit(None).cast("string").alias("datatype"), F.lit(graph).alias("graph"))
 
 
-def union_graphs(*graphs: DataFrame) -> DataFrame:
-    """The set of the triples of all graphs."""
+def join_parts(*graphs: DataFrame) -> DataFrame:
+    """All triples of graphs that are sets and have none in common, such as tables with unique ids: nothing is compared."""
     out = graphs[0]
     for g in graphs[1:]:
         out = out.unionByName(g)
-    return out.dropDuplicates(["subject", "predicate", "object"])
+    return out
+
+
+def union_graphs(*graphs: DataFrame) -> DataFrame:
+    """The set of the triples of any graphs."""
+    return join_parts(*graphs).dropDuplicates(["subject", "predicate", "object"])
 
 
 def graph_stats(triples: DataFrame) -> DataFrame:
@@ -116,20 +126,31 @@ def literal_graph(spark: SparkSession, rows: Sequence[tuple], graph: str) -> Dat
     return spark.createDataFrame([(*r, graph) for r in rows], TRIPLE)
 
 
-def subclass_closure(triples: DataFrame, depth: int = 16) -> DataFrame:
-    """(class, ancestor) pairs of the ontology, reflexive; hierarchies deeper than `depth` raise."""
+def ancestors(triples: DataFrame, depth: int = 16) -> dict[str, set[str]]:
+    """For each class in a subclass edge itself and all classes above; hierarchies deeper than `depth` raise."""
     edges = triples.where(F.col("predicate") == "rdfs:subClassOf").select(F.col("subject").alias("class"), F.col("object").alias("ancestor")).distinct()
     rows = edges.limit(100_001).collect()  # classes of an ontology, not instances
     if len(rows) > 100_000:
         raise ValueError("over 100,000 subclass edges are no ontology")
-    found = {(r["class"], r["ancestor"]) for r in rows}
-    names = {x for pair in found for x in pair}
-    closed = found | {(n, n) for n in names}
-    for _ in range(depth):
-        more = {(a, d) for a, b in closed for c, d in found if b == c} - closed
-        if not more:
-            break
-        closed |= more
-    else:
-        raise ValueError(f"class hierarchy deeper than {depth}")
-    return triples.sparkSession.createDataFrame(sorted(closed) or [], "class string, ancestor string")
+    above: dict[str, set[str]] = {}
+    for r in rows:
+        above.setdefault(r["class"], set()).add(r["ancestor"])
+        above.setdefault(r["ancestor"], set())
+    closed = {}
+    for name in above:
+        found, new = {name}, {name}
+        for _ in range(depth + 1):
+            new = {x for c in new for x in above[c]} - found
+            if not new:
+                break
+            found |= new
+        else:
+            raise ValueError(f"class hierarchy deeper than {depth}")
+        closed[name] = found
+    return closed
+
+
+def subclass_closure(triples: DataFrame, depth: int = 16) -> DataFrame:
+    """(class, ancestor) pairs of the ontology, reflexive."""
+    closed = ancestors(triples, depth)
+    return triples.sparkSession.createDataFrame(sorted((c, a) for c, up in closed.items() for a in up), "class string, ancestor string")

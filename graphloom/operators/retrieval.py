@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,7 +14,7 @@ from ..functions.text import normalize_name
 from .graph import neighborhood
 from .patterns import edge_view, optional_hop, property_view
 
-#: A catalog up to this size is broadcast; a larger one meets the questions on shared character grams.
+#: A catalog up to this size is sent to the texts; a larger one meets them on shared character grams.
 CATALOG_BYTES = 8 << 20
 GRAM = 8
 
@@ -29,30 +31,53 @@ def build_catalog(parts: Sequence[tuple[DataFrame, str, str, str]]) -> DataFrame
 def detect_entities(questions: DataFrame, catalog: DataFrame, key: str = "question_id", text: str = "question", gram: int = GRAM) -> DataFrame:
     """For each question the entity with the longest normalised name that it contains; equal lengths by position.
 
-    Names of `gram` characters or more meet the questions on their first gram and are then verified, so pairs grow with real
-    matches; the shorter names, few in kind, are looked up through every substring of their lengths.
+    A catalog of up to CATALOG_BYTES is sent to the texts as an automaton, which reads each text once whatever the number of
+    names. Beyond that names of `gram` characters or more meet the texts on their first gram and are then verified; shorter
+    names, few in kind, are looked up through every substring of their lengths.
     """
-    q = questions.select(F.col(key).alias("__key"), normalize_name(F.col(text)).alias("nq"))
     names = catalog.withColumn("nn", normalize_name(F.col("entity_name"))).where("nn <> ''").groupBy("nn").agg(F.min_by(F.struct("entity_id", "entity_name", "entity_type", "position"), "position").alias("e"))
+    size = names.agg(F.coalesce(F.sum(F.length("nn") + 64), F.lit(0)).alias("bytes")).first()["bytes"]
+    q = questions.select(F.col(key).alias(key), normalize_name(F.col(text)).alias("nq"))
+    if size > CATALOG_BYTES:
+        return _detect_by_grams(q, names, key, gram)
+    spark = questions.sparkSession
+    rows = names.orderBy(F.desc(F.length("nn")), "e.position").select("nn", "e.entity_id", "e.entity_name", "e.entity_type").collect()  # CATALOG_BYTES at most
+    known = spark.createDataFrame([(k, *r[1:]) for k, r in enumerate(rows)], "rank long, entity_id string, entity_name string, entity_type string")
+    sent = spark.sparkContext.broadcast([r["nn"] for r in rows])
+    schema = q.select(key).withColumn("rank", F.lit(0).cast("long")).schema
+    found = q.where("nq <> ''").mapInArrow(lambda batches: _first_names(batches, sent.value), schema)
+    best = found.groupBy(key).agg(F.min("rank").alias("rank"))
+    return best.join(F.broadcast(known), "rank").select(key, "entity_id", "entity_name", "entity_type")
+
+
+def _first_names(batches: Iterator[pa.RecordBatch], names: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """key, rank of the first of `names` that each text of (key, text) holds; texts without one give no row."""
+    automaton = ahocorasick.Automaton()
+    for k, name in enumerate(names):
+        automaton.add_word(name, k)
+    if names:
+        automaton.make_automaton()
+    for batch in batches:
+        best = [min((k for _, k in automaton.iter(t)), default=None) if names else None for t in batch.column(1).to_pylist()]
+        ranks = pa.array(best, pa.int64())
+        held = ranks.is_valid()
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(held), ranks.filter(held)], names=[batch.schema.names[0], "rank"])
+
+
+def _detect_by_grams(q: DataFrame, names: DataFrame, key: str, gram: int) -> DataFrame:
+    """`detect_entities` with a catalog of any size, from (key, nq) and (nn, e): all steps are joins."""
     # normalised text is ASCII, so bytes are characters and a gram is cut in constant time
     names = names.withColumn("probe", F.expr(f"substring(cast(nn as binary), 1, {gram})"))
-    about = names.agg(F.coalesce(F.sum(F.length("nn") + 64), F.lit(0)).alias("bytes"), F.sort_array(F.collect_set(F.octet_length("probe"))).alias("sizes")).first()  # at most `gram` sizes
-    small = about["bytes"] <= CATALOG_BYTES
     real = None
-    for n in about["sizes"]:
-        own = names.where(F.octet_length("probe") == n).select("probe", "nn", "e")
-        grams = F.explode(F.expr(f"transform(sequence(1, length(nq) - {n} + 1), i -> substring(cast(nq as binary), i, {n}))")).alias("probe")
-        long_enough = q.where(F.length("nq") >= n)
-        if small:  # one stage: texts are read, cut and verified where they lie
-            hits = long_enough.select("__key", "nq", grams).join(F.broadcast(own), "probe").where(F.contains(F.col("nq"), F.col("nn"))).select("__key", "nn", "e")
-        else:  # grams first meet the catalog without the texts, which follow for real candidates only
-            probes = long_enough.select("__key", grams).distinct().join(own, "probe").select("__key", "nn", "e")
-            hits = probes.join(q, "__key").where(F.contains(F.col("nq"), F.col("nn"))).select("__key", "nn", "e")
+    for r in names.select(F.octet_length("probe").alias("n")).distinct().collect():  # at most `gram` sizes
+        own = names.where(F.octet_length("probe") == r["n"]).select("probe", "nn", "e")
+        grams = F.explode(F.expr(f"transform(sequence(1, length(nq) - {r['n']} + 1), i -> substring(cast(nq as binary), i, {r['n']}))")).alias("probe")
+        # grams meet the catalog without the texts, which follow for real candidates only
+        probes = q.where(F.length("nq") >= r["n"]).select(key, grams).distinct().join(own, "probe").select(key, "nn", "e")
+        hits = probes.join(q, key).where(F.contains(F.col("nq"), F.col("nn"))).select(key, "nn", "e")
         real = hits if real is None else real.unionByName(hits)
-    if real is None:
-        return q.select(F.col("__key").alias(key), *[F.lit(None).cast("string").alias(c) for c in ("entity_id", "entity_name", "entity_type")]).limit(0)
-    best = real.groupBy("__key").agg(F.min_by("e", F.struct(-F.length("nn"), F.col("e.position"))).alias("e"))
-    return best.select(F.col("__key").alias(key), "e.entity_id", "e.entity_name", "e.entity_type")
+    best = real.groupBy(key).agg(F.min_by("e", F.struct(-F.length("nn"), F.col("e.position"))).alias("e"))
+    return best.select(key, "e.entity_id", "e.entity_name", "e.entity_type")
 
 
 def actor_context(triples: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import TYPE, subclass_closure
+from .graph import TYPE, ancestors
 
 VIOLATION = ("shape", "path", "component", "focus", "value", "message")
 
@@ -25,38 +25,53 @@ class Constraint:
     message: str = ""
 
 
-def typed(triples: DataFrame) -> DataFrame:
-    """(subject, class) with the classes above by subclass edges."""
-    own = triples.where(F.col("predicate") == TYPE).select("subject", F.col("object").alias("class")).distinct()
-    closure = F.broadcast(subclass_closure(triples))  # an ontology's classes, bounded there
-    up = own.join(closure, "class").select("subject", F.col("ancestor").alias("class"))
-    return own.unionByName(up).distinct()
-
-
 def validate(triples: DataFrame, constraints: Sequence[Constraint]) -> DataFrame:
-    """Violations, one for each focus and path (counts) or each value (all others).
+    """Violations, one for each focus and path (counts) or each value (all others). `triples` is a set.
 
-    Constraints on a path share one aggregation for counts and one pass over its values for the rest.
+    All counts are one aggregation by subject. All tests of values are one join of the values with their subjects' classes,
+    and tests of a value's class one more. A class stands for all below it in the ontology.
     """
-    types = typed(triples)
+    above = ancestors(triples)
+    below = {t: sorted({t} | {c for c, up in above.items() if t in up}) for t in {c.target_class for c in constraints} | {c.parameter for c in constraints if c.component == "class"}}
+    kind = F.col("predicate") == TYPE
     out = None
-    for target, path in sorted({(c.target_class, c.path) for c in constraints}):
-        own = [c for c in constraints if (c.target_class, c.path) == (target, path)]
-        focus = types.where(F.col("class") == target).select(F.col("subject").alias("focus"))
-        values = triples.where(F.col("predicate") == path).select(F.col("subject").alias("focus"), F.col("object").alias("value"), "datatype", "object_kind")
-        counted = [c for c in own if c.component in ("minCount", "maxCount")]
-        if counted:
-            n = focus.join(values, "focus", "left").groupBy("focus").agg(F.count("value").alias("n"))
-            found = [F.when((F.col("n") < c.parameter) if c.component == "minCount" else (F.col("n") > c.parameter), _row(c, F.lit(None).cast("string"))) for c in counted]
-            out = _add(out, n.select(F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("v"), "focus"))
-        each = [c for c in own if c.component not in ("minCount", "maxCount", "class")]
-        if each:
-            found = [F.when(_bad(c), _row(c, F.col("value"))) for c in each]
-            out = _add(out, focus.join(values, "focus").select(F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("v"), "focus"))
-        for c in own:
-            if c.component == "class":
-                members = types.where(F.col("class") == c.parameter).select(F.col("subject").alias("value"))
-                out = _add(out, focus.join(values, "focus").join(members, "value", "left_anti").select(_row(c, F.col("value")).alias("v"), "focus"))
+
+    def in_class(name: str):
+        return kind & F.col("object").isin(*below[name])
+
+    def paths(own: list[Constraint]):
+        return F.col("predicate").isin(*sorted({c.path for c in own}))
+
+    counted = [c for c in constraints if c.component in ("minCount", "maxCount")]
+    if counted:
+        targets, named = sorted({c.target_class for c in counted}), sorted({c.path for c in counted})
+        per = triples.where(paths(counted) | kind & F.col("object").isin(*{x for t in targets for x in below[t]})).groupBy(F.col("subject").alias("focus"))
+        rows = per.agg(*[F.max(in_class(t)).alias(f"is{k}") for k, t in enumerate(targets)], *[F.count_if(F.col("predicate") == p).alias(f"n{k}") for k, p in enumerate(named)])
+        found = []
+        for c in counted:
+            n = F.col(f"n{named.index(c.path)}")
+            found.append(F.when(F.col(f"is{targets.index(c.target_class)}") & ((n < c.parameter) if c.component == "minCount" else (n > c.parameter)), _row(c, F.lit(None).cast("string"))))
+        out = _add(out, rows.select(F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("v"), "focus"))
+    each = [c for c in constraints if c.component not in ("minCount", "maxCount")]
+    if each:
+        targets = sorted({c.target_class for c in each})
+        focus = triples.where(kind & F.col("object").isin(*{x for t in targets for x in below[t]})).groupBy(F.col("subject").alias("focus")).agg(*[F.max(in_class(t)).alias(f"is{k}") for k, t in enumerate(targets)])
+        values = triples.where(paths(each)).select(F.col("subject").alias("focus"), "predicate", F.col("object").alias("value"), "datatype").join(focus, "focus")
+
+        def holds(c: Constraint):
+            return F.col(f"is{targets.index(c.target_class)}") & (F.col("predicate") == c.path)
+
+        tests = [c for c in each if c.component != "class"]
+        if tests:
+            found = [F.when(holds(c) & _bad(c), _row(c, F.col("value"))) for c in tests]
+            out = _add(out, values.select(F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("v"), "focus"))
+        classes = [c for c in each if c.component == "class"]
+        if classes:
+            wanted = [F.when(holds(c), F.struct(F.lit(c.parameter).alias("class"), _row(c, F.col("value")).alias("v"))) for c in classes]
+            asked = values.select("focus", "value", F.explode(F.filter(F.array(*wanted), lambda x: x.isNotNull())).alias("w")).select("focus", "value", "w.class", "w.v")
+            held = [F.when(in_class(p), F.lit(p)) for p in sorted({c.parameter for c in classes})]
+            members = triples.where(kind).select(F.col("subject").alias("value"), F.explode(F.filter(F.array(*held), lambda x: x.isNotNull())).alias("class"))
+            out = _add(out, asked.join(members, ["value", "class"], "left_anti").select("v", "focus"))
     return out
 
 

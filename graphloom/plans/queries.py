@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from ..functions.text import route_decision as route_by_model
 from ..functions.text import route_similarity as route_by_score
 from ..operators import answer, evaluate, graph, matching, patterns, profile, retrieval, review, rules, shapes
 from ..session import table
+from ..sources import io
 from . import star
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -232,6 +234,115 @@ def inverse_edge(spark, d):
     return e.join(table(spark, d, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey")).select("p_name", "l_orderkey").distinct().groupBy("p_name").agg(F.count("*").alias("orders"))
 
 
+# The same patterns over triples, hop by hop, where the forms above join the wide tables.
+
+_TWO_HOPS = "select c_name, n_name, r_name from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey where c_acctbal::decimal(18,2) >= 5000 order by c_name"
+
+
+@query(_TWO_HOPS)
+def triples_2hop(spark, d):
+    """Customers of a balance, their nation and region; ordered by name."""
+    t = star.triples(spark, d, ("customer", "nation", "region"), ("LIVES_IN", "IN_REGION"))
+    rows = patterns.numeric_filter(patterns.property_view(t, "customer", {"customerName": "c_name", "customerBalance": "balance"}), "balance", 5000)
+    rows = patterns.hop(rows, patterns.edge_view(t, "livesIn", "customer", "nation"), "customer", patterns.property_view(t, "nation", {"nationName": "n_name"}))
+    rows = patterns.hop(rows, patterns.edge_view(t, "inRegion", "nation", "region"), "nation", patterns.property_view(t, "region", {"regionName": "r_name"}))
+    return rows.select("c_name", "n_name", "r_name").orderBy("c_name")
+
+
+@query("select distinct 'order/' || o_orderkey::varchar as order_uri, 'part/' || p_partkey::varchar as part, p_name, 'supplier/' || s_suppkey::varchar as supplier, n_name from orders join lineitem l on l.l_orderkey = o_orderkey join part on p_partkey = l.l_partkey join (select distinct l_partkey as pk, l_suppkey as sk from lineitem) e on e.pk = p_partkey join supplier on s_suppkey = e.sk join nation on s_nationkey = n_nationkey where o_totalprice::decimal(18,2) >= 450000")
+def triples_3hop(spark, d):
+    """Orders of a total, their parts, all suppliers of these and the suppliers' nations: every combination is a row."""
+    t = star.triples(spark, d, ("orders", "part", "nation"), ("CONTAINS", "SUPPLIED_BY", "BASED_IN"))
+    rows = patterns.numeric_filter(patterns.property_view(t, "order", {"orderTotal": "total"}), "total", 450000)
+    rows = patterns.hop(rows, patterns.edge_view(t, "contains", "order", "part"), "order", patterns.property_view(t, "part", {"partName": "p_name"}))
+    rows = patterns.hop(rows, patterns.edge_view(t, "suppliedBy", "part", "supplier"), "part")
+    rows = patterns.hop(rows, patterns.edge_view(t, "basedIn", "supplier", "nation"), "supplier", patterns.property_view(t, "nation", {"nationName": "n_name"}))
+    return rows.select(F.col("order").alias("order_uri"), "part", "p_name", "supplier", "n_name")
+
+
+@query("select n_name, c_name, s_name from nation join customer on c_nationkey = n_nationkey join supplier on s_nationkey = n_nationkey where c_acctbal::decimal(18,2) >= 9000 and s_acctbal::decimal(18,2) >= 9000")
+def triples_two_branches(spark, d):
+    """Rich customers and rich suppliers of a nation: the bag product of both branches, as rows."""
+    t = star.triples(spark, d, ("nation", "customer", "supplier"), ("LIVES_IN", "BASED_IN"))
+    rows = patterns.property_view(t, "nation", {"nationName": "n_name"})
+    for predicate, node, name, balance in (("livesIn", "customer", "customerName", "customerBalance"), ("basedIn", "supplier", "supplierName", "supplierBalance")):
+        rich = patterns.numeric_filter(patterns.property_view(t, node, {name: f"{node[0]}_name", balance: f"{node}_balance"}), f"{node}_balance", 9000)
+        rows = patterns.hop(rows, patterns.edge_view(t, predicate, node, "nation"), "nation", rich)
+    return rows.select("n_name", "c_name", "s_name")
+
+
+@query(
+    """select distinct c_name, n_name, r_name, o_orderkey::varchar as o_orderkey, 'part/' || p_partkey::varchar as part, p_name, s_name from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey
+    join orders on o_custkey = c_custkey join lineitem l on l.l_orderkey = o_orderkey join part on p_partkey = l.l_partkey join (select distinct l_partkey as pk, l_suppkey as sk from lineitem) e on e.pk = p_partkey
+    join supplier on s_suppkey = e.sk where r_name = 'ASIA' and o_orderpriority = '1-URGENT' and o_totalprice::decimal(18,2) >= 400000 order by c_name, o_orderkey, part, s_name"""
+)
+def triples_full_investigation(spark, d):
+    """Region, nation, customer, urgent large order, part and supplier as one pattern over triples, from the rarest end; ordered."""
+    t = star.triples(spark, d)
+    rows = patterns.property_view(t, "region", {"regionName": "r_name"}).where("r_name = 'ASIA'")
+    rows = patterns.hop(rows, patterns.edge_view(t, "inRegion", "nation", "region"), "region", patterns.property_view(t, "nation", {"nationName": "n_name"}))
+    rows = patterns.hop(rows, patterns.edge_view(t, "livesIn", "customer", "nation"), "nation", patterns.property_view(t, "customer", {"customerName": "c_name"}))
+    orders = patterns.numeric_filter(patterns.property_view(t, "order", {"priority": "priority", "orderTotal": "total"}).where("priority = '1-URGENT'"), "total", 400000)
+    rows = patterns.hop(rows, patterns.edge_view(t, "placedBy", "order", "customer"), "customer", orders)
+    rows = patterns.hop(rows, patterns.edge_view(t, "contains", "order", "part"), "order", patterns.property_view(t, "part", {"partName": "p_name"}))
+    rows = patterns.hop(rows, patterns.edge_view(t, "suppliedBy", "part", "supplier"), "part", patterns.property_view(t, "supplier", {"supplierName": "s_name"}))
+    return rows.select("c_name", "n_name", "r_name", F.substring("order", 7, 20).alias("o_orderkey"), "part", "p_name", "s_name").orderBy("c_name", "o_orderkey", "part", "s_name")
+
+
+@query("select p_name, 'order/' || o.l_orderkey::varchar as order_uri from part join (select distinct l_partkey, l_orderkey from lineitem) o on l_partkey = p_partkey where p_retailprice::decimal(18,2) >= 950")
+def triples_inverse_edge(spark, d):
+    """From parts of a price back along `contains` to the orders."""
+    t = star.triples(spark, d, ("part",), ("CONTAINS",))
+    rows = patterns.numeric_filter(patterns.property_view(t, "part", {"partName": "p_name", "price": "price"}), "price", 950)
+    return patterns.hop(rows, patterns.edge_view(t, "contains", "order", "part"), "part").select("p_name", F.col("order").alias("order_uri"))
+
+
+# --- sources and sinks: what is written reads back the same ---------------------------------------------------------
+
+
+def _there(spark, name: str) -> str:
+    """A folder for one query's files, where driver and executors share it."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base}/graphloom-{name}-{uuid.uuid4().hex}"
+
+
+_SUPPLIERS = "select s_suppkey, s_name, s_nationkey, s_acctbal from supplier"
+
+
+@query(_SUPPLIERS)
+def csv_round_trip(spark, d):
+    rows = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+    io.write_csv(rows, path := _there(spark, "csv"))
+    return io.read_csv(spark, path, ", ".join(f"{c} {t}" for c, t in rows.dtypes))
+
+
+@query(_SUPPLIERS)
+def json_round_trip(spark, d):
+    rows = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+    io.write_json(rows, path := _there(spark, "json"))
+    return spark.read.schema(rows.schema).json(path)
+
+
+@query("select s_name as value from supplier")
+def text_round_trip(spark, d):
+    io.write_text(table(spark, d, "supplier").select("s_name"), path := _there(spark, "text"))
+    return spark.read.text(path)
+
+
+@query(f"select subject, predicate, object from ({star.triples_sql(('nation', 'region'), ('IN_REGION',))})")
+def parquet_round_trip(spark, d):
+    """Triples stored by predicate: a pattern then reads its own files."""
+    io.write_parquet(star.triples(spark, d, ("nation", "region"), ("IN_REGION",)), path := _there(spark, "parquet"), "predicate")
+    return io.read_parquet(spark, path).select("subject", "predicate", "object")
+
+
+@query("select 'ex:r' || r_regionkey::varchar as subject, 'rdf:type' as predicate, 'ex:Region' as object from region union all select 'ex:r' || r_regionkey::varchar, 'ex:name', r_name from region")
+def turtle_round_trip(spark, d):
+    t = graph.tables_to_triples(table(spark, d, "region"), graph.ClassSpec("ex:Region", "r_regionkey", {"r_name": "ex:name"}, "ex:r"))
+    io.write_turtle(t, path := _there(spark, "turtle"), {"ex": "http://example.org/", "rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "xsd": "http://www.w3.org/2001/XMLSchema#"})
+    return io.read_turtle(spark, path).select("subject", "predicate", "object")
+
+
 # --- shapes --------------------------------------------------------------------------------------------------------
 
 _ORDER = lambda path, component, parameter: shapes.Constraint("OrderShape", "Order", path, component, parameter)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.graph import ClassSpec, edges_to_triples, tables_to_triples, union_graphs
+from ..operators.graph import ClassSpec, edges_to_triples, join_parts, tables_to_triples
 from ..session import table
 
 CLASSES = {
@@ -34,8 +34,9 @@ def edges(spark: SparkSession, d: str, *names: str) -> DataFrame:
     for name, source, a, pa, b, pb, distinct in EDGES:
         if names and name not in names:
             continue
-        rows = table(spark, d, source).select(F.concat(F.lit(pa), F.col(a).cast("string")).alias("source_id"), F.lit(name).alias("relationship"), F.concat(F.lit(pb), F.col(b).cast("string")).alias("target_id"))
-        rows = rows.distinct() if distinct else rows
+        keys = table(spark, d, source).select(a, b)
+        keys = keys.distinct() if distinct else keys  # numbers, before they become text
+        rows = keys.select(F.concat(F.lit(pa), F.col(a).cast("string")).alias("source_id"), F.lit(name).alias("relationship"), F.concat(F.lit(pb), F.col(b).cast("string")).alias("target_id"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -49,11 +50,14 @@ def entity_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def triples(spark: SparkSession, d: str, classes=tuple(CLASSES), relationships=tuple(PREDICATES)) -> DataFrame:
-    """The set of triples of some classes and relationships; only their tables and columns are read."""
+    """The set of triples of some classes and relationships; only their tables and columns are read.
+
+    The tables' keys are unique, edges are made distinct where they are not, and parts differ in subject or predicate.
+    """
     parts = [tables_to_triples(table(spark, d, c), CLASSES[c]) for c in classes]
     if relationships:
         parts.append(edges_to_triples(edges(spark, d, *relationships), PREDICATES))
-    return union_graphs(*parts)
+    return join_parts(*parts)
 
 
 #: The edges as SQL, for the checks.
