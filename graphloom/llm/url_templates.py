@@ -113,7 +113,7 @@ def judge_urls(
     grouped = durable(salted_join(leaves, pool, "parent", salts=8).withColumn("branch", F.when(differs, F.col("template")).otherwise(F.concat("parent", F.lit("/~")))))
     merged = grouped.groupBy("branch").agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b")).withColumn("purity", (F.col("b") + F.lit(weight * rate)) / (F.col("n") + F.lit(weight)))
     judged = salted_join(grouped.select("template", "branch"), merged.select("branch", "purity"), "branch", salts=8)
-    by_key = tree.select("key", "template").join(judged.select("template", "purity"), "template")
+    by_key = salted_join(tree.select("key", "template"), judged.select("template", "purity"), "template", salts=8)  # one template may hold most paths
     out = salted_join(parsed, by_key, "key", salts=8)
     found = F.when(F.col("purity") >= least, F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", F.col("ruled.rule").alias("rule"), F.coalesce(F.col("ruled.verdict"), found).alias("verdict"), "template", F.round("purity", 6).alias("purity"))
