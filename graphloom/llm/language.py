@@ -6,7 +6,9 @@ averages over its windows by their bytes. For prediction the filters are folded
 position costs two look-ups.
 
 Training sees at most `per_language` documents of each of the `max_languages` most frequent languages, one excerpt of
-EXCERPT characters each: a bounded sample, chosen by a hash of the id over all documents.
+`excerpt` characters each, from a hashed place: a bounded sample, chosen by a hash of the id over all documents. These three
+parameters bound the fit only; every text is predicted whole. A language beyond the `max_languages` most frequent is not
+learned, so a caller with more labelled languages raises the bound.
 
 Defined results: a null or empty text, or one without any letter, is `und` with score 0; null languages and null ids are
 never learned from; no labelled rows at all make every text `und`; a single language is learned as such; repeated rows
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import crc_fold, map_texts, table, texts
+from .common import crc_fold, map_texts, table, texts, unused
 
 WINDOW = 256
 EXCERPT = 1024
@@ -173,7 +175,7 @@ def predict(p: dict, column: pa.Array) -> list[pa.Array]:
     return [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
 
 
-def fit(docs: DataFrame, learn=None, per_language: int = 150, max_languages: int = 256) -> dict:
+def fit(docs: DataFrame, learn=None, per_language: int = 150, max_languages: int = 256, excerpt: int = EXCERPT) -> dict:
     """The network, trained on the documents for which `learn` holds (default: crc32 of the id mod 3 is not 1)."""
     learn = crc_fold(3) != 1 if learn is None else learn
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & learn)
@@ -184,20 +186,21 @@ def fit(docs: DataFrame, learn=None, per_language: int = 150, max_languages: int
     if not bounds:
         return train([])
     limit = docs.sparkSession.createDataFrame([(r["lang"], r["bound"]) for r in bounds], "lang string, bound long")
-    start = F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.greatest(F.length("text") - EXCERPT, F.lit(1))).cast("int") + 1
-    rows = known.join(F.broadcast(limit), "lang").where(rank <= F.col("bound")).select("doc_id", "lang", F.col("text").substr(start, F.lit(EXCERPT)).alias("part")).limit(2 * per_language * len(bounds)).collect()
+    start = F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.greatest(F.length("text") - excerpt, F.lit(1))).cast("int") + 1
+    rows = known.join(F.broadcast(limit), "lang").where(rank <= F.col("bound")).select("doc_id", "lang", F.col("text").substr(start, F.lit(excerpt)).alias("part")).orderBy(rank, "lang", "part").limit(2 * per_language * len(bounds)).collect()  # in order: rows that repeat an id give the same fit each time
     rows.sort(key=lambda r: (r["doc_id"], r["lang"], r["part"]))
     return train([(r["part"].encode("utf-8", "replace"), r["lang"]) for r in rows])
 
 
-def identify(docs: DataFrame, model: dict, carry: list[str]) -> DataFrame:
-    """Columns `carry` of `docs` with lang_pred and score."""
-    return map_texts(docs, lambda column: predict(model, column), "lang_pred string, score double", carry)
+def identify(docs: DataFrame, model: dict, carry: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Columns `carry` of `docs` with lang_pred and score, or as `names` call them."""
+    return map_texts(docs, lambda column: predict(model, column), f"`{names[0]}` string, `{names[1]}` double", carry)
 
 
 def keep_identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
     """The documents whose language the network tells with a score of `least` or more: unless asked, all but `und`, as clean texts of several languages score low."""
-    return identify(docs, fit(docs), docs.columns + ["text"] * ("text" not in docs.columns)).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).drop("lang_pred", "score")
+    lang, score = unused(docs.columns, "lang_pred", "score")
+    return identify(docs, fit(docs), docs.columns, (lang, score)).where((F.col(lang) != UNDETERMINED) & (F.col(score) >= least)).drop(lang, score)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, table
+from .common import map_texts, table, unused
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "name", "id", "contact")
@@ -431,7 +431,8 @@ def redact(docs: DataFrame) -> DataFrame:
         _WEIGHTS.update(learned)
         return [pa.array([None if t is None else masked(t) for t in column.to_pylist()], pa.string())]
 
-    done = map_texts(docs.withColumnRenamed("text", "__raw"), mask, "text string", [c for c in docs.columns if c != "text"], text="__raw")
+    raw = unused(docs.columns, "raw_text")[0]
+    done = map_texts(docs.withColumnRenamed("text", raw), mask, "text string", [c for c in docs.columns if c != "text"], text=raw)
     return done.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else done
 
 

@@ -6,11 +6,12 @@ layer, gated attention (tanh times sigmoid) and a softmax over the document's pa
 representation gives the score. Only document labels are seen in training.
 
 Training sees at most `per_class` labelled documents of either class, the ones with the smallest hash of their id, and at
-most EXCERPT characters of each, from a hashed place: a bounded sample.
+most `excerpt` characters of each, from a hashed place: a bounded sample. Both bound the fit only; every text is scored whole.
 
 Defined results: a null or empty text is a bag of one empty passage and gets that bag's score; without labels of both classes
 all scores are the share of label 1 (0.5 without labels); rows with a null id are scored, never learned from; labels that
-disagree on a document count as the smaller one; repeated rows are scored each for itself; an empty table gives no rows.
+disagree on a document count as the smaller one; repeated rows are scored each for itself; very long texts are bags of as
+many passages as they have; an empty table gives no rows; extra columns are ignored, or kept as the caller asks.
 """
 
 from __future__ import annotations
@@ -145,15 +146,15 @@ def scores(p: dict, raws: list[np.ndarray]) -> np.ndarray:
     return np.round(np.concatenate(out), 6) if out else np.zeros(0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn=None, per_class: int = 500) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, learn=None, per_class: int = 500, excerpt: int = EXCERPT) -> dict:
     """The model, trained on labelled documents for which `learn` holds (default: crc32 of the id mod 4 is not 2)."""
     learn = crc_fold(4) != 2 if learn is None else learn
     rank = F.xxhash64(F.lit(7), "doc_id")
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & learn).select("doc_id", "quality", rank.alias("rank"))
     nearest = known.withColumn("n", F.dense_rank().over(Window.partitionBy("quality").orderBy("rank", "doc_id"))).where(F.col("n") <= per_class)
     chosen = nearest.groupBy("doc_id").agg(F.min("quality").alias("quality"))  # 2 * per_class rows at most
-    start = F.pmod(F.xxhash64(F.lit(8), "doc_id"), F.greatest(F.length("text") - EXCERPT, F.lit(1))).cast("int") + 1
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", F.col("text").substr(start, F.lit(EXCERPT)).alias("part")).limit(4 * per_class).collect()
+    start = F.pmod(F.xxhash64(F.lit(8), "doc_id"), F.greatest(F.length("text") - excerpt, F.lit(1))).cast("int") + 1
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", F.col("text").substr(start, F.lit(excerpt)).alias("part")).orderBy(rank, "doc_id", "part").limit(4 * per_class).collect()  # in order: rows that repeat an id give the same fit each time
     rows.sort(key=lambda r: (r["doc_id"], r["part"]))
     return train([np.frombuffer(r["part"].encode("utf-8", "replace"), np.uint8) for r in rows], np.asarray([r["quality"] for r in rows], float))
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, table
+from .common import WORD, table, unused
 
 SEPARATORS = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -74,22 +74,23 @@ def clean_documents(docs: DataFrame, text: str = "text", max_lost: float = 0.5,
                 'lost_words', aggregate(transform(ls, (l, i) -> if(bad[i], regexp_count(l, {quote(WORD)}), 0)), 0, (a, x) -> a + x),
                 'clean', array_join(filter(ls, (l, i) -> not bad[i]), '\\n')))[0])[0]"""
     )
-    judged = docs.withColumns({"__words": word_counts(t), "__lines": lines, "word_chars": F.expr(f"length(regexp_replace({t}, {quote(SEPARATORS)}, ''))").cast("long"), "n_symbols": F.expr(f"regexp_count({t}, {quote(SYMBOLS)})").cast("long")})
-    n, repeats = F.col("__words.n").cast("long"), F.col("__words.repeats").cast("long")
+    about, by_line = unused(docs.columns, "about_words", "about_lines")
+    judged = docs.withColumns({about: word_counts(t), by_line: lines, "word_chars": F.expr(f"length(regexp_replace({t}, {quote(SEPARATORS)}, ''))").cast("long"), "n_symbols": F.expr(f"regexp_count({t}, {quote(SYMBOLS)})").cast("long")})
+    n, repeats = F.col(f"{about}.n").cast("long"), F.col(f"{about}.repeats").cast("long")
     base_failed = (n < 10) | (100 * repeats > 20 * n)
     return judged.withColumns(
         {
             "n_words": n,
-            "n_dup_lines": F.col("__lines.dup").cast("long"),
+            "n_dup_lines": F.col(f"{by_line}.dup").cast("long"),
             "n_repeat_words": repeats,
-            "n_lines": F.col("__lines.n").cast("long"),
-            "n_lost_lines": F.col("__lines.lost").cast("long"),
-            "n_lost_words": F.col("__lines.lost_words").cast("long"),
+            "n_lines": F.col(f"{by_line}.n").cast("long"),
+            "n_lost_lines": F.col(f"{by_line}.lost").cast("long"),
+            "n_lost_words": F.col(f"{by_line}.lost_words").cast("long"),
             "base_failed": base_failed,
-            "kept": ~base_failed & (F.col("__lines.lost_words") <= F.lit(max_lost) * n),
-            "clean_text": F.col("__lines.clean"),
+            "kept": ~base_failed & (F.col(f"{by_line}.lost_words") <= F.lit(max_lost) * n),
+            "clean_text": F.col(f"{by_line}.clean"),
         }
-    ).drop("__words", "__lines")
+    ).drop(about, by_line)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

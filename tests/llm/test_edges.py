@@ -166,6 +166,16 @@ def test_classifiers(spark, docs, none, odd):
     assert quality_model.score_quality(none, quality_model.fit(none, labels.limit(0)), ["doc_id"]).count() == 0
 
 
+def test_columns_of_the_caller_survive(docs, odd):
+    """Names that the operators use inside, or for what they drop again, stay the caller's."""
+    own = odd.withColumns({n: F.lit("x") for n in ("about_words", "about_lines", "raw_text", "text_in", "salt", "gone_id", "quota", "name")})
+    extra = [c for c in own.columns if c not in docs.columns]
+    for kept in (quality_rules.clean_documents(own), personal.redact(own), language.keep_identified(own), jaccard.drop_near_copies(own.limit(9)), mixing.mix_sources(own, keep=[c for c in own.columns if c not in ("size", "target", "taken")])):
+        still = [c for c in extra if c not in ("size", "target", "taken")] if "taken" in kept.columns and kept.columns.count("size") == 1 and "source_size" in kept.columns else extra
+        assert kept.columns.count("size") == 1
+        assert kept.select(*still).distinct().collect() == [tuple("x" for _ in still)]
+
+
 def test_texts_of_several_languages_are_kept(spark):
     words = {"en": "the river runs north and ", "de": "und der alte Fluß zieht ", "ru": "река течёт на север и ", "el": "το ποτάμι κυλά αργά και "}
     rows = [(4 * i + k, words[x] * (20 + i), x) for i in range(12) for k, x in enumerate(words)] + [(100, "".join(w * 12 for w in words.values()) * 2, None), (101, "12 34", None)]
