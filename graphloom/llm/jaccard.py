@@ -465,8 +465,8 @@ def _blocks(reps: DataFrame) -> DataFrame:
     # a shingle indexes a set once, so two 64-bit sums without carry tell its sets
     shared = postings.groupBy("token").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("set")).alias("h"), F.bit_xor(F.xxhash64("set", F.lit(1))).alias("g")).where("size > 1")
     kept = durable(shared.groupBy("size", "h", "g").agg(F.min("token").alias("token")).select("token", "size"))
-    # one row a token against its sets: Spark splits a token that most sets share
-    return postings.join(checked_broadcast(kept), "token")
+    # one row a token against its sets, in a shuffle at every size: Spark splits a token that most sets share
+    return postings.join(kept, "token")
 
 
 def _linked(steps: Scratch, reps: DataFrame, docs: DataFrame, words: int, percent: int, chunk: int, few: int = 4) -> DataFrame:
