@@ -469,7 +469,7 @@ def _blocks(reps: DataFrame) -> DataFrame:
     return postings.join(kept, "token")
 
 
-def _linked(steps: Scratch, reps: DataFrame, docs: DataFrame, words: int, percent: int, chunk: int, few: int = 4) -> DataFrame:
+def _linked(steps: Scratch, reps: DataFrame, docs: DataFrame, words: int, percent: int, chunk: int, few: int = 1) -> DataFrame:
     """set, comp of the sets that have links."""
     blocks = steps.table("blocks", _blocks(reps))
     about = reps.select("set", "n", "signature")
