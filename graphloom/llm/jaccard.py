@@ -13,7 +13,8 @@
 6. Pairs are counted exactly on the texts, once each, and links make components. A block with a failed pair between two
    components, or a large one with more than one component, is read again: every component hands on its `few` nearest pairs
    with others; a block that held back a pair comes again with eight times as many, until none holds back. So no link
-   that would connect two components is lost, and a pair is handed on only while its ends are not connected.
+   that would connect two components is lost, and a pair is handed on only while its ends are not connected, by the first of
+   the open blocks that its sets share: if it fails a filter there, it fails for good.
    A large block's main component meets the other sets of the block in pairs of chunks; its own sets are not compared again.
 7. Components of the links: a bounded number of links in one task, more by hooking and pointer jumping in tables.
 
@@ -41,6 +42,7 @@ SMALL = 6
 SKETCH_BITS = 20
 SKETCH_PART = 12  # bits of a bucket's place in its part of the table
 LEAST_BITS = 256
+OPEN_LISTED = 64
 _ODD = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
@@ -318,7 +320,7 @@ def _pairs(dealt: DataFrame, percent: int, few: int | None = None) -> DataFrame:
     """token, a, b, more: pairs that the chunks hand on, and whether a chunk holds back some. With a column `comp`, the
     `few` nearest between each component and others; else forests."""
     known = "comp" in dealt.columns
-    names = _DEALT + ["comp"] * known
+    names = _DEALT + ["comp", "tokens"] * known
 
     def join(batches):
         held, key = [], None
@@ -335,6 +337,9 @@ def _pairs(dealt: DataFrame, percent: int, few: int | None = None) -> DataFrame:
                     for c in (comp[x], comp[y]):
                         used[c] = used.get(c, 0) + 1
             more = max(used.values(), default=0) >= (few or 1)
+            if known:  # of the open blocks that two sets share one hands them on
+                kept = [(x, y) for x, y in got if not cols[9][x] or not cols[9][y] or key[0] == min(set(cols[9][x]).intersection(cols[9][y]))]
+                got = kept or [(0, 0)] * more  # a set with itself tells only that more is held back
             return [(key[0], min(cols[3][x], cols[3][y]), max(cols[3][x], cols[3][y]), more) for x, y in got]
 
         def batch_of(rows):
@@ -498,8 +503,10 @@ def _linked(steps: Scratch, reps: DataFrame, docs: DataFrame, words: int, percen
             return comp
         steps.drop(f"open{turn - 1}")
         open_ = steps.table(f"open{turn}", inside.join(checked_broadcast(several), "token", "left_semi"))
-        pairs = steps.table(f"pairs{turn}", _pairs(_open_chunks(open_.join(about, "set"), chunk), percent, few))
-        new = durable(pairs.select("a", "b").distinct().join(told.select("a", "b"), ["a", "b"], "left_anti"))
+        # a set's open blocks, if few: only these find out which block hands on a pair, others hand on twice
+        lists = open_.groupBy("set").agg(F.collect_list("token").alias("tokens")).withColumn("tokens", F.when(F.size("tokens") <= OPEN_LISTED, F.col("tokens")))
+        pairs = steps.table(f"pairs{turn}", _pairs(_open_chunks(open_.join(about, "set").join(lists, "set"), chunk), percent, few))
+        new = durable(pairs.where("a <> b").select("a", "b").distinct().join(told.select("a", "b"), ["a", "b"], "left_anti"))
         turn, few = turn + 1, 8 * few
 
 
