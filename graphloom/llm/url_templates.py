@@ -2,7 +2,7 @@
 
 1. Segments that are numbers, dates or long hexadecimal codes become classes at once (a file ending stays).
 2. Level by level, from the root, a node whose children are many and thinly used is generalised: its children become `*`.
-   Beyond `depth` levels the rest of a path is one segment. Each level is two aggregations over distinct paths, not pages.
+   Each level is two aggregations over the distinct paths, not pages, that still share a node with enough others.
 3. Sibling templates whose share of bad labels does not differ significantly from that of all their siblings together
    (two-proportion z-test) are merged and share their counts; the others stand alone.
 4. A template is rejected if its smoothed share of bad labels reaches `least`; smoothing adds `weight` labels at the corpus' rate.
@@ -19,6 +19,7 @@ repeated rows each come back; empty tables give no rows; extra columns are ignor
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,8 +50,8 @@ def by_rules(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Co
     return out
 
 
-def lexical(path: Column, depth: int) -> Column:
-    """A path's segments with numbers, dates and codes as classes; segments past `depth` are one."""
+def lexical(path: Column) -> Column:
+    """A path's segments with numbers, dates and codes as classes."""
 
     def one(segment: Column) -> Column:
         out = segment
@@ -58,33 +59,35 @@ def lexical(path: Column, depth: int) -> Column:
             out = F.regexp_replace(out, pattern + _EXTENSION, name + "$1")
         return out
 
-    parts = F.split(F.regexp_replace(path, "^/", ""), "/")
-    head = F.transform(F.slice(parts, 1, depth), one)
-    return F.when(F.size(parts) > depth, F.concat(head, F.array(F.array_join(F.slice(parts, depth + 1, 2147483647), "/")))).otherwise(head)
-
-
-def templates(paths: DataFrame, depth: int, children: int, thin: float) -> DataFrame:
-    """`paths` (key, host, segments, pages, labelled, bad) with `template` and its `parent` after generalisation."""
-    rows = paths.withColumn("template", F.col("host"))
-    for level in range(depth + 1):
-        step = F.get(F.col("segments"), F.lit(level))
-        node = F.sha2(F.col("template"), 256)
-        here = durable(rows.withColumn("step", step).withColumn("node", node))
-        used = here.where(F.col("step").isNotNull())
-        if used.isEmpty():
-            return here.drop("step", "node")
-        per_child = used.groupBy("node", "step").agg(F.sum("pages").alias("pages"))
-        wide = per_child.groupBy("node").agg(F.count("*").alias("n"), F.sum("pages").alias("pages")).where((F.col("n") >= children) & (F.col("pages") < thin * F.col("n"))).select("node", F.lit(True).alias("wide"))
+    return F.transform(F.split(F.regexp_replace(path, "^/", ""), "/"), one)
+
+
+def templates(paths: DataFrame, children: int, thin: float) -> DataFrame:
+    """`paths` (key, host, segments, pages, labelled, bad) with `template` after generalisation.
+
+    A node with fewer distinct paths below it than `children` can have no wide node below either, so its paths keep their
+    segments and leave; a level reads only the paths that are left. Levels end at the deepest node with so many paths.
+    """
+    rows, done, level = durable(paths.withColumn("template", F.col("host"))), [], 0
+    while not rows.isEmpty():
+        rows = rows.withColumn("node", F.sha2(F.col("template"), 256)).withColumn("step", F.get(F.col("segments"), F.lit(level)))
+        per_child = rows.where(F.col("step").isNotNull()).groupBy("node", "step").agg(F.sum("pages").alias("pages"), F.count("*").alias("paths"))
+        nodes = per_child.groupBy("node").agg(F.count("*").alias("n"), F.sum("pages").alias("all_pages"), F.sum("paths").alias("all_paths")).where(F.col("all_paths") >= children)
+        nodes = nodes.select("node", ((F.col("n") >= children) & (F.col("all_pages") < thin * F.col("n"))).alias("wide"))
         # nodes are fewer than paths, but one node may have most of them
-        rows = salted_join(here, wide, "node", salts=8).withColumn("template", F.when(F.col("step").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.when(F.col("wide"), F.lit("*")).otherwise(F.col("step"))))).drop("step", "node", "wide")
-    return rows
+        here = durable(salted_join(rows, nodes, "node", salts=8))
+        on = F.col("wide").isNotNull() & F.col("step").isNotNull()
+        rest = F.array_join(F.slice("segments", level + 1, 2147483647), "/")
+        done.append(here.where(~on).withColumn("template", F.when(F.col("step").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), rest))).select(*paths.columns, "template"))
+        rows = here.where(on).withColumn("template", F.concat("template", F.lit("/"), F.when(F.col("wide"), F.lit("*")).otherwise(F.col("step")))).select(*paths.columns, "template")
+        level += 1
+    return functools.reduce(DataFrame.unionByName, done) if done else rows
 
 
 def judge_urls(
     pages: DataFrame,
     labels: DataFrame,
     rules: Sequence[tuple[str, str]] = RULES,
-    depth: int = 6,
     children: int = 8,
     thin: float = 20.0,
     alike: float = 1.96,
@@ -96,12 +99,12 @@ def judge_urls(
     `labels` (page_id, bad 0 or 1) covers some of the pages. `purity` is the smoothed share of bad labels.
     """
     parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    parsed = parsed.withColumn("segments", lexical(F.col("path"), depth)).withColumn("key", F.sha2(F.concat_ws("\n", F.col("host"), F.array_join("segments", "/")), 256))
+    parsed = parsed.withColumn("segments", lexical(F.col("path"))).withColumn("key", F.sha2(F.concat_ws("\n", F.col("host"), F.array_join("segments", "/")), 256))
     parsed = durable(parsed.withColumn("ruled", by_rules(F.col("host"), F.col("path"), rules)))
     known = labels.where(F.col("page_id").isNotNull()).groupBy("page_id").agg(F.max("bad").alias("bad"))
     marked = parsed.select("page_id", "key", "host", "segments").join(known, "page_id", "left")
     paths = marked.groupBy("key").agg(F.first("host").alias("host"), F.first("segments").alias("segments"), F.count("*").alias("pages"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    tree = durable(templates(paths, depth, children, thin))
+    tree = durable(templates(paths, children, thin))
 
     rate = tree.agg((F.sum("bad") / F.greatest(F.sum("labelled"), F.lit(1))).alias("rate")).first()["rate"] or 0.0
     leaves = tree.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")).withColumn("parent", F.regexp_replace("template", "/[^/]*$", ""))

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -221,6 +222,38 @@ def test_pages(spark):
     assert html_text.extract_text(pages.limit(0), pages.columns).count() == 0
 
 
+def plain_templates(urls, children=8, thin=20.0):
+    """The template of each (host, segments) by a plain walk of whole paths, however deep."""
+    out = {}
+
+    def walk(template, below, level):
+        for segments, original in [x for x in below if len(x[0]) <= level]:
+            out[original] = template
+        going = [x for x in below if len(x[0]) > level]
+        steps = {x[0][level] for x in going}
+        wide = len(steps) >= children and len(going) < thin * len(steps)
+        for name in ["*"] if wide else sorted(steps):
+            walk(f"{template}/{name}", [x for x in going if wide or x[0][level] == name], level + 1)
+
+    for host in sorted({h for h, _ in urls}):
+        walk(host, [(segments, (h, segments)) for h, segments in urls if h == host], 0)
+    return out
+
+
+def test_url_templates_of_any_depth(spark):
+    rng = np.random.default_rng(5)
+    deep = ["/".join(["a"] * 9 + [f"{a}{b}x" for a, b in zip("pqrstuvwxyz", rng.permutation(list("klmnopqrstu")), strict=True)][: k % 4 + 1]) for k in range(60)]
+    mixed = ["/".join(f"{'abcdefghijkl'[rng.integers(0, 12 if d == 2 else 2)]}y" for d in range(rng.integers(1, 6))) for _ in range(300)]
+    urls = [(i, f"http://{h}.example.org/{path}") for i, (h, path) in enumerate([("deep", p) for p in deep] + [("mixed", p) for p in mixed] + [("deep", "/".join("z" * 400)), ("empty", "")])]
+    got = url_templates.judge_urls(spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame([], "page_id long, bad int"), rules=()).collect()
+    parsed = {r["page_id"]: (r["host"], tuple(r["path"][1:].split("/"))) for r in got}
+    # pages of a path count each, so the plain walk takes every page
+    below = [(parsed[i][0], parsed[i][1]) for i, _ in urls]
+    want = plain_templates(below)
+    assert {r["page_id"]: r["template"] for r in got} == {i: want[parsed[i]] for i, _ in urls}
+    assert any("*" in t and t.count("/") > 9 for t in want.values())  # a wildcard beyond any fixed depth
+
+
 def test_urls(spark):
     urls = [(i, f"https://Good.example.org/en/{i}") for i in range(40)] + [(100 + i, f"https://spam.example.edu/buy/{i}.html?x=1") for i in range(40)] + [(200 + i, f"http://slugs.example.edu/post/name-{chr(97 + i)}x") for i in range(26)]
     urls += [(900, None), (901, "no scheme/x"), (902, "http://example.com/en/7#a"), (903, "http://WWW.example.com/en/8"), (904, "http://badexample.com/en/"), (905, "http://notcom/en/x"), (906, "ftp://a.net/de/8"), (907, "ftp://example.net/de/81"), (907, "ftp://example.net/de/81"), (None, "http://x.org/es/")]
