@@ -3,8 +3,10 @@
 1. Segments that are numbers, dates or long hexadecimal codes become classes at once (a file ending stays).
 2. Level by level, from the root, a node whose children are many and thinly used is generalised: its children become `*`.
    Each level is two aggregations over the distinct paths, not pages, that still share a node with enough others.
-3. Sibling templates whose share of bad labels does not differ significantly from that of all their siblings together
-   (two-proportion z-test) are merged and share their counts; the others stand alone.
+3. From the deepest level up, branches whose share of bad labels does not differ significantly from that of all other branches
+   of their parent together (two-proportion z-test with continuity correction) are merged, and go on as one branch of the level above; the others stand
+   alone. Merging ends at the host. A branch is a template at first, later all that was merged below a node; a level is two
+   aggregations over the branches that reach it.
 4. A template is rejected if its smoothed share of bad labels reaches `least`; smoothing adds `weight` labels at the corpus' rate.
 
 Rules come before the tree: of those that fit a host or one of its parent domains and start the path, the longest wins.
@@ -25,7 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, durable, salted_join, table
+from .common import LOWER, UPPER, Scratch, durable, salted_join, table
 
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -63,12 +65,12 @@ def lexical(path: Column) -> Column:
 
 
 def templates(paths: DataFrame, children: int, thin: float) -> DataFrame:
-    """`paths` (key, host, segments, pages, labelled, bad) with `template` after generalisation.
+    """`paths` (key, host, segments, pages, labelled, bad) with `template` after generalisation and `steps`, the nodes above it.
 
     A node with fewer distinct paths below it than `children` can have no wide node below either, so its paths keep their
     segments and leave; a level reads only the paths that are left. Levels end at the deepest node with so many paths.
     """
-    rows, done, level = durable(paths.withColumn("template", F.col("host"))), [], 0
+    rows, done, level = durable(paths.withColumns({"template": F.col("host"), "steps": F.array("host")})), [], 0
     while not rows.isEmpty():
         rows = rows.withColumn("node", F.sha2(F.col("template"), 256)).withColumn("step", F.get(F.col("segments"), F.lit(level)))
         per_child = rows.where(F.col("step").isNotNull()).groupBy("node", "step").agg(F.sum("pages").alias("pages"), F.count("*").alias("paths"))
@@ -78,12 +80,41 @@ def templates(paths: DataFrame, children: int, thin: float) -> DataFrame:
         here = durable(salted_join(rows, nodes, "node", salts=8))
         on = F.col("wide").isNotNull() & F.col("step").isNotNull()
         rest = F.array_join(F.slice("segments", level + 1, 2147483647), "/")
-        done.append(here.where(~on).withColumn("template", F.when(F.col("step").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), rest))).select(*paths.columns, "template"))
-        rows = here.where(on).withColumn("template", F.concat("template", F.lit("/"), F.when(F.col("wide"), F.lit("*")).otherwise(F.col("step")))).select(*paths.columns, "template")
+        last = F.when(F.col("wide"), F.lit("*")).otherwise(F.col("step"))
+        ended = F.col("step").isNull()
+        done.append(here.where(~on).withColumns({"template": F.when(ended, F.col("template")).otherwise(F.concat("template", F.lit("/"), rest)), "steps": F.when(ended, F.col("steps")).otherwise(F.concat("steps", F.array(rest)))}).select(*paths.columns, "template", "steps"))
+        rows = here.where(on).withColumns({"template": F.concat("template", F.lit("/"), last), "steps": F.concat("steps", F.array(last))}).select(*paths.columns, "template", "steps")
         level += 1
     return functools.reduce(DataFrame.unionByName, done) if done else rows
 
 
+def branches(leaves: DataFrame, alike: float) -> DataFrame:
+    """`leaves` (template, steps, labelled, bad) with `branch`: the template itself, or the highest node whose branches it merged with."""
+    scratch = Scratch(leaves.sparkSession)
+    waiting, done = scratch.table("leaves", leaves.withColumns({"branch": F.col("template"), "depth": F.size("steps") - 1})), []
+    deepest = waiting.agg(F.max("depth").alias("depth")).first()["depth"] or 0
+    share, both = F.col("bad") / F.greatest("labelled", F.lit(1)), F.col("all_bad") / F.greatest("all_labelled", F.lit(1))
+    rest, rest_bad = F.col("all_labelled") - F.col("labelled"), F.col("all_bad") - F.col("bad")
+    spread = F.sqrt(both * (1 - both) * (1 / F.greatest("labelled", F.lit(1)) + 1 / F.greatest(rest, F.lit(1))))
+    step = (1 / F.greatest("labelled", F.lit(1)) + 1 / F.greatest(rest, F.lit(1))) / 2  # continuity: one label alone says little
+    differs = (F.col("labelled") > 0) & (rest > 0) & (F.abs(share - rest_bad / F.greatest(rest, F.lit(1))) - step > F.lit(alike) * F.greatest(spread, F.lit(1e-9)))
+    for level in range(deepest, 0, -1):
+        here = waiting.where(F.col("depth") == level).withColumn("parent", F.concat_ws("/", F.slice("steps", 1, level)))
+        units = here.groupBy("branch", "parent").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+        pool = units.groupBy("parent").agg(F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
+        tested = salted_join(units, pool, "parent", salts=8).select("branch", differs.alias("differs"))
+        moved = salted_join(here, tested, "branch", salts=8)  # one branch may hold most templates
+        merged = moved.withColumns({"branch": F.when(F.col("differs"), F.col("branch")).otherwise(F.concat("parent", F.lit("/~"))), "depth": F.lit(level - 1), "alone": F.col("differs")})
+        columns = waiting.columns
+        # a table, as a checkpoint keeps the constraints of its plan, which multiply from level to level
+        above = scratch.table(f"above{level}", waiting.where(F.col("depth") < level).withColumn("alone", F.lit(False)).unionByName(merged.select(*columns, "alone")))
+        done.append(above.where("alone").select(columns))
+        waiting = above.where("not alone").select(columns)
+    out = durable(functools.reduce(DataFrame.unionByName, done, waiting))
+    scratch.drop()
+    return out
+
+
 def judge_urls(
     pages: DataFrame,
     labels: DataFrame,
@@ -107,13 +138,8 @@ def judge_urls(
     tree = durable(templates(paths, children, thin))
 
     rate = tree.agg((F.sum("bad") / F.greatest(F.sum("labelled"), F.lit(1))).alias("rate")).first()["rate"] or 0.0
-    leaves = tree.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")).withColumn("parent", F.regexp_replace("template", "/[^/]*$", ""))
-    pool = leaves.groupBy("parent").agg(F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
-    share, both = F.col("bad") / F.greatest("labelled", F.lit(1)), F.col("all_bad") / F.greatest("all_labelled", F.lit(1))
-    rest, rest_bad = F.col("all_labelled") - F.col("labelled"), F.col("all_bad") - F.col("bad")
-    spread = F.sqrt(both * (1 - both) * (1 / F.greatest("labelled", F.lit(1)) + 1 / F.greatest(rest, F.lit(1))))
-    differs = (F.col("labelled") > 0) & (rest > 0) & (F.abs(share - rest_bad / F.greatest(rest, F.lit(1))) > F.lit(alike) * F.greatest(spread, F.lit(1e-9)))
-    grouped = durable(salted_join(leaves, pool, "parent", salts=8).withColumn("branch", F.when(differs, F.col("template")).otherwise(F.concat("parent", F.lit("/~")))))
+    leaves = tree.groupBy("template", "steps").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+    grouped = branches(leaves, alike)
     merged = grouped.groupBy("branch").agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b")).withColumn("purity", (F.col("b") + F.lit(weight * rate)) / (F.col("n") + F.lit(weight)))
     judged = salted_join(grouped.select("template", "branch"), merged.select("branch", "purity"), "branch", salts=8)
     by_key = salted_join(tree.select("key", "template"), judged.select("template", "purity"), "template", salts=8)  # one template may hold most paths

@@ -254,6 +254,67 @@ def test_url_templates_of_any_depth(spark):
     assert any("*" in t and t.count("/") > 9 for t in want.values())  # a wildcard beyond any fixed depth
 
 
+def plain_branches(leaves, alike=1.96):
+    """The branch of each leaf, by steps, from counts of labels and bad ones: branch by branch, deepest first."""
+    out = {steps: ("leaf", steps) for steps in leaves}
+    depth = {steps: len(steps) - 1 for steps in leaves}
+    for level in range(max(depth.values()), 0, -1):
+        here = [s for s in leaves if depth[s] == level]
+        counts, pools = {}, {}
+        for s in here:
+            for into, key in ((counts, (out[s], s[:level])), (pools, s[:level])):
+                n, b = into.get(key, (0, 0))
+                into[key] = n + leaves[s][0], b + leaves[s][1]
+        for s in here:
+            (n, b), (all_n, all_b) = counts[out[s], s[:level]], pools[s[:level]]
+            rest = all_n - n
+            if n and rest:
+                p = all_b / all_n
+                if abs(b / n - (all_b - b) / rest) - (1 / n + 1 / rest) / 2 > alike * max((p * (1 - p) * (1 / n + 1 / rest)) ** 0.5, 1e-9):
+                    depth[s] = -1  # stands alone
+                    continue
+            depth[s] = level - 1
+        for s in here:
+            if depth[s] >= 0:
+                out[s] = ("node", s[:level])
+    return out
+
+
+def test_url_branches_merge_up_to_the_host(spark):
+    rng = np.random.default_rng(3)
+    urls, bad = [], []
+    for k in range(900):
+        top, inner, last = "news shop help".split()[k % 3], f"{'abcd'[rng.integers(4)]}x", f"{'pqrstu'[rng.integers(6)]}y"
+        urls.append((k, f"http://{'one' if k % 2 else 'two'}.example.org/{top}/{inner}/{last}" + "/deep" * int(rng.integers(0, 3))))
+        if rng.random() < 0.6:
+            bad.append((k, int(rng.random() < (0.95 if (top, inner) == ("shop", "bx") else 0.05))))
+    got = url_templates.judge_urls(spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame(bad, "page_id long, bad int"), rules=()).collect()
+    # nodes of too few paths end the walk: their rest is one step
+    keys, known = {r["page_id"]: r["template"] for r in got}, dict(bad)
+    distinct = {t: set() for t in keys.values()}
+    parts = {t: tuple(t.split("/")) for t in distinct}
+    steps = {}
+    for t, p in parts.items():
+        n = 1
+        while n < len(p) and len({q for q in parts.values() if q[:n] == p[:n]}) >= 8:
+            n += 1
+        steps[t] = (*p[: n - 1], "/".join(p[n - 1 :])) if n <= len(p) and len({q for q in parts.values() if q[: n - 1] == p[: n - 1]}) < 8 else (*p[:n],) if n >= len(p) else (*p[:n], "/".join(p[n:]))
+    leaves = {}
+    for k, t in keys.items():
+        n, b = leaves.get(steps[t], (0, 0))
+        leaves[steps[t]] = n + (k in known), b + known.get(k, 0)
+    branch = plain_branches(leaves)
+    rate, sums = sum(known.values()) / len(known), {}
+    for s, (n, b) in leaves.items():
+        a, c = sums.get(branch[s], (0, 0))
+        sums[branch[s]] = a + n, c + b
+    purity = {t: (sums[branch[s]][1] + 10 * rate) / (sums[branch[s]][0] + 10) for t, s in steps.items()}
+    assert all(abs(r["purity"] - purity[r["template"]]) < 2e-6 and r["verdict"] == ("block" if purity[r["template"]] >= 0.6 else "allow") for r in got)
+    wrong = [r for r in got if (r["verdict"] == "block") != ("/shop/bx" in r["path"])]
+    assert len(wrong) <= 0.1 * sum("/shop/bx" in r["path"] for r in got)
+    assert len({branch[s] for s in steps.values()}) < len(steps) / 3  # most have merged
+
+
 def test_urls(spark):
     urls = [(i, f"https://Good.example.org/en/{i}") for i in range(40)] + [(100 + i, f"https://spam.example.edu/buy/{i}.html?x=1") for i in range(40)] + [(200 + i, f"http://slugs.example.edu/post/name-{chr(97 + i)}x") for i in range(26)]
     urls += [(900, None), (901, "no scheme/x"), (902, "http://example.com/en/7#a"), (903, "http://WWW.example.com/en/8"), (904, "http://badexample.com/en/"), (905, "http://notcom/en/x"), (906, "ftp://a.net/de/8"), (907, "ftp://example.net/de/81"), (907, "ftp://example.net/de/81"), (None, "http://x.org/es/")]
