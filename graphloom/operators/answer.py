@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import utc_timestamp
+from .models import Ask, in_batches
 
 #: A generator adds answer, evidence, entities_used, confidence and evidence_status to context packages.
 Generator = Callable[[DataFrame], DataFrame]
+FAILED = "The answer could not be generated; the evidence follows."
 NO_EVIDENCE = "The graph holds no evidence for this question."
 
 
@@ -28,6 +30,16 @@ def template_generator(packages: DataFrame) -> DataFrame:
     )
 
 
+def by_batch(ask: Ask) -> Generator:
+    """A generator that calls a model in the executors; packages that raise there are answered as PARTIAL with their facts."""
+    made = "answer string, evidence array<string>, entities_used array<string>, confidence double, evidence_status string"
+
+    def failed(package, error):
+        return {"answer": FAILED, "evidence": package["graph_context"], "entities_used": [], "confidence": 0.0, "evidence_status": "PARTIAL"}
+
+    return lambda packages: in_batches(packages, ask, made, failed)
+
+
 def answer(packages: DataFrame, generator: Generator = template_generator) -> DataFrame:
     """Answers to all packages: a fixed one without evidence, the generator's otherwise, PARTIAL ones if it raises."""
     empty = F.array().cast("array<string>")
@@ -36,7 +48,7 @@ def answer(packages: DataFrame, generator: Generator = template_generator) -> Da
     try:
         made = generator(found)
     except Exception:  # noqa: BLE001 - a model's failure must not stop the batch
-        made = found.withColumns({"answer": F.lit("The answer could not be generated; the evidence follows."), "evidence": F.col("graph_context"), "entities_used": empty, "confidence": F.lit(0.0), "evidence_status": F.lit("PARTIAL")})
+        made = found.withColumns({"answer": F.lit(FAILED), "evidence": F.col("graph_context"), "entities_used": empty, "confidence": F.lit(0.0), "evidence_status": F.lit("PARTIAL")})
     return made.unionByName(fixed)
 
 

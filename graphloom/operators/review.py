@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import describe, normalize_name, route_decision
+from .models import Ask, in_batches
 
 #: A decider turns rows with incoming_name, top_name, top_id and top_vector_score into model_decision, selected_canonical_id,
 #: selected_canonical_name, model_confidence and reasoning.
@@ -41,8 +42,18 @@ def rule_decider(rows: DataFrame) -> DataFrame:
     )
 
 
+def by_batch(ask: Ask) -> Decider:
+    """A decider that calls a model in the executors; rows that raise there are UNCERTAIN with confidence 0, all others keep their answer."""
+    made = "model_decision string, selected_canonical_id string, selected_canonical_name string, model_confidence double, reasoning string"
+
+    def failed(row, error):
+        return {"model_decision": "UNCERTAIN", "selected_canonical_id": None, "selected_canonical_name": None, "model_confidence": 0.0, "reasoning": type(error).__name__}
+
+    return lambda rows: in_batches(rows, ask, made, failed)
+
+
 def decide(rows: DataFrame, decider: Decider = rule_decider) -> DataFrame:
-    """A decider's answers; if it raises when called, every row is UNCERTAIN with confidence 0."""
+    """A decider's answers; if it raises when called, every row is UNCERTAIN with confidence 0. A model that may fail on a row is given by `by_batch`."""
     try:
         return decider(rows)
     except Exception as error:  # noqa: BLE001 - a model's failure must not stop the batch
@@ -57,10 +68,11 @@ def routed(rows: DataFrame) -> DataFrame:
 def apply_review(rows: DataFrame, reviews: DataFrame, prefixes: Mapping[str, str] = PREFIXES, first: int = 9000) -> DataFrame:
     """`rows` with reviewer_decision, final_decision, final id and name, review_status and agreement.
 
-    Reviews are looked up by incoming_name. New entities, created automatically or by a reviewer, draw ids from one
+    Reviews are looked up by incoming_name; of several of a name the first by decision, id and name holds. New entities, created automatically or by a reviewer, draw ids from one
     counter for each type, in the order of `position`; types without a prefix share the constant NEW_UNKNOWN.
     """
-    known = reviews.select("incoming_name", "reviewer_decision", F.col("canonical_id").alias("__id"), F.col("canonical_name").alias("__name"))
+    first_review = F.min(F.struct("reviewer_decision", "canonical_id", "canonical_name")).alias("said")
+    known = reviews.groupBy("incoming_name").agg(first_review).select("incoming_name", "said.reviewer_decision", F.col("said.canonical_id").alias("__id"), F.col("said.canonical_name").alias("__name"))
     joined = rows.join(known, "incoming_name", "left")
     route, said = F.col("routing_decision"), F.col("reviewer_decision")
     final = F.when(route == "AUTO_APPROVE", "REUSE").when(route == "CREATE_NEW", "NEW_ENTITY").when(said.isin("REUSE", "NEW_ENTITY"), said).otherwise("UNRESOLVED")
@@ -79,9 +91,18 @@ def apply_review(rows: DataFrame, reviews: DataFrame, prefixes: Mapping[str, str
     ).drop("__id", "__name", "new_id")
 
 
-def mint_ids(rows: DataFrame, prefixes: Mapping[str, str] = PREFIXES, first: int = 9000) -> DataFrame:
-    """incoming_id, new_id: prefix and a running number by type in the order of `position`."""
-    number = F.row_number().over(Window.partitionBy("entity_type").orderBy("position"))
+def mint_ids(rows: DataFrame, prefixes: Mapping[str, str] = PREFIXES, first: int = 9000, width: int = 65536) -> DataFrame:
+    """incoming_id, new_id: prefix and a running number by type in the order of `position`, one for each id.
+
+    Numbers run within ranges of `width` positions, after the counts of the ranges before: no task holds a whole type.
+    """
+    once = rows.groupBy("incoming_id").agg(F.min(F.struct("position", "entity_type")).alias("at"))
+    once = once.select("incoming_id", "at.position", "at.entity_type", F.floor(F.col("at.position") / width).alias("range"))
+    sizes = once.groupBy("entity_type", "range").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("entity_type").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(F.col("entity_type").alias("kind"), F.col("range").alias("within"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    rows = once.join(starts, F.col("entity_type").eqNullSafe(F.col("kind")) & F.col("range").eqNullSafe(F.col("within")))
+    number = F.col("start") + F.row_number().over(Window.partitionBy("entity_type", "range").orderBy("position", "incoming_id"))
     prefix = F.lit(None).cast("string")
     for kind, p in prefixes.items():
         prefix = F.when(F.col("entity_type") == kind, p).otherwise(prefix)

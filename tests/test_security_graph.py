@@ -80,6 +80,55 @@ def test_review(spark):
     assert {r["model_decision"] for r in review.decide(rows, broken).collect()} == {"UNCERTAIN"}
 
 
+def test_a_row_that_a_model_fails_on_is_uncertain(spark):
+    rows = spark.range(40).selectExpr("id", "cast(id as string) as incoming_name", "struct(id as a) as nested", "'old' as reasoning")
+
+    def ask(batch):
+        if (batch["id"] % 7 == 3).any():
+            raise ValueError("no answer")
+        answers = batch[["id"]].copy()
+        answers["model_decision"], answers["selected_canonical_id"], answers["selected_canonical_name"], answers["model_confidence"], answers["reasoning"] = "REUSE", batch["incoming_name"], None, 0.9, "asked"
+        return answers
+
+    got = review.decide(rows, review.by_batch(ask)).collect()
+    assert len(got) == 40 and all(r["nested"]["a"] == r["id"] for r in got)
+    for r in got:
+        want = ("UNCERTAIN", None, 0.0, "ValueError") if r["id"] % 7 == 3 else ("REUSE", str(r["id"]), 0.9, "asked")
+        assert (r["model_decision"], r["selected_canonical_id"], r["model_confidence"], r["reasoning"]) == want
+    assert {r["reasoning"] for r in review.by_batch(lambda batch: batch.head(0))(rows).collect()} == {"ValueError"}  # too few answers
+    assert review.by_batch(ask)(rows.limit(0)).count() == 0
+
+
+def test_a_package_that_a_generator_fails_on_is_partial(spark):
+    entity = "struct(cast(id as string) as entity_id, 'n' as entity_name) as detected_entity"
+    packages = spark.range(6).selectExpr("cast(id as int) as question_id", "'q' as question", "if(id = 5, 'NO_CONTEXT', 'SUCCESS') as status", entity, "array('fact', cast(id as string)) as graph_context")
+
+    def ask(batch):
+        if 2 in set(batch["question_id"]):
+            raise TimeoutError
+        return batch.assign(answer="a", evidence=batch["graph_context"], entities_used=[["e"]] * len(batch), confidence=1.0, evidence_status="SUPPORTED")
+
+    got = {r["question_id"]: r for r in answer.answer(packages, answer.by_batch(ask)).collect()}
+    assert {k: r["evidence_status"] for k, r in got.items()} == {0: "SUPPORTED", 1: "SUPPORTED", 2: "PARTIAL", 3: "SUPPORTED", 4: "SUPPORTED", 5: "INSUFFICIENT"}
+    assert got[2]["evidence"] == ["fact", "2"] and got[2]["answer"] == answer.FAILED and got[3]["entities_used"] == ["e"]
+
+
+def test_ids_are_minted_across_ranges_once_for_each(spark):
+    rows = [(f"i{k}", ["ThreatActor", "Malware", "Gadget", None][k % 4], k * 3) for k in range(60)] + [("i0", "ThreatActor", 500), ("none", "Malware", None)]
+    got = {r["incoming_id"]: r["new_id"] for r in review.mint_ids(spark.createDataFrame(rows, "incoming_id string, entity_type string, position int"), width=16).collect()}
+    assert len(got) == 61 and got["none"] == "MAL9001"  # no position comes first
+    assert [got[f"i{k}"] for k in range(0, 60, 4)] == [f"TA{9001 + n}" for n in range(15)]
+    assert [got[f"i{k}"] for k in range(1, 60, 4)] == [f"MAL{9002 + n}" for n in range(15)]
+    assert {got[f"i{k}"] for k in range(60) if k % 4 > 1} == {"NEW_UNKNOWN"}
+
+
+def test_reviews_that_repeat_a_name_make_no_rows(spark):
+    rows = spark.createDataFrame([(1, "a", "x", "Malware", "p", "P", 0.7), (2, "a", "x", "Malware", "p", "P", 0.7)], "position int, incoming_id string, incoming_name string, entity_type string, top_name string, top_id string, top_vector_score double")
+    said = spark.createDataFrame([("x", "REUSE", "M2", "m2"), ("x", "REUSE", "M1", "m1"), ("x", "NEW_ENTITY", None, None)], "incoming_name string, reviewer_decision string, canonical_id string, canonical_name string")
+    got = review.apply_review(review.routed(review.decide(rows)), said).collect()
+    assert [(r["final_decision"], r["final_canonical_id"]) for r in got] == [("NEW_ENTITY", "MAL9001")] * 2
+
+
 def catalog(spark):
     f = lambda n: fixtures.fixture(spark, n)
     return retrieval.build_catalog([(f("threat_actors"), "actor_id", "actor_name", "ThreatActor"), (f("malware"), "malware_id", "malware_name", "Malware"), (f("campaigns"), "campaign_id", "campaign_name", "Campaign"), (f("organizations"), "organization_id", "organization_name", "Organization"), (f("domains"), "domain_id", "domain_name", "Domain"), (f("vulnerabilities"), "cve_id", "cve_id", "Vulnerability")])
