@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.graph import TYPE, ClassSpec, edges_to_triples, literal_graph, tables_to_triples, union_graphs
@@ -75,12 +77,37 @@ TABLES = {
     ),
     "relationships": (
         "source_id string, relationship string, target_id string",
-        [(f"TA00{i}", "USES_MALWARE", f"MAL00{i}") for i in range(1, 6)]
-        + [(f"MAL00{i}", "EXPLOITS", f"CVE-2026-100{i}") for i in range(1, 6)]
-        + [(f"TA00{i}", "ATTRIBUTED_TO_CAMPAIGN", f"CAM00{i}") for i in range(1, 5)]
-        + [("CAM001", "TARGETS", "ORG001"), ("CAM001", "TARGETS", "ORG005"), ("CAM002", "TARGETS", "ORG002"), ("CAM003", "TARGETS", "ORG003"), ("CAM004", "TARGETS", "ORG004")]
-        + [(f"MAL00{i}", "COMMUNICATES_WITH", f"DOM00{i}") for i in range(1, 6)]
-        + [(f"DOM00{i}", "RESOLVES_TO", f"IP00{i}") for i in range(1, 6)],
+        [
+            ("TA001", "USES_MALWARE", "MAL001"),
+            ("TA002", "USES_MALWARE", "MAL002"),
+            ("TA003", "USES_MALWARE", "MAL003"),
+            ("TA004", "USES_MALWARE", "MAL004"),
+            ("TA005", "USES_MALWARE", "MAL005"),
+            ("MAL001", "EXPLOITS", "CVE-2026-1001"),
+            ("MAL002", "EXPLOITS", "CVE-2026-1002"),
+            ("MAL003", "EXPLOITS", "CVE-2026-1003"),
+            ("MAL004", "EXPLOITS", "CVE-2026-1004"),
+            ("MAL005", "EXPLOITS", "CVE-2026-1005"),
+            ("TA001", "ATTRIBUTED_TO_CAMPAIGN", "CAM001"),
+            ("TA002", "ATTRIBUTED_TO_CAMPAIGN", "CAM002"),
+            ("TA003", "ATTRIBUTED_TO_CAMPAIGN", "CAM003"),
+            ("TA004", "ATTRIBUTED_TO_CAMPAIGN", "CAM004"),
+            ("CAM001", "TARGETS", "ORG001"),
+            ("CAM001", "TARGETS", "ORG005"),
+            ("CAM002", "TARGETS", "ORG002"),
+            ("CAM003", "TARGETS", "ORG003"),
+            ("CAM004", "TARGETS", "ORG004"),
+            ("MAL001", "COMMUNICATES_WITH", "DOM001"),
+            ("MAL002", "COMMUNICATES_WITH", "DOM002"),
+            ("MAL003", "COMMUNICATES_WITH", "DOM003"),
+            ("MAL004", "COMMUNICATES_WITH", "DOM004"),
+            ("MAL005", "COMMUNICATES_WITH", "DOM005"),
+            ("DOM001", "RESOLVES_TO", "IP001"),
+            ("DOM002", "RESOLVES_TO", "IP002"),
+            ("DOM003", "RESOLVES_TO", "IP003"),
+            ("DOM004", "RESOLVES_TO", "IP004"),
+            ("DOM005", "RESOLVES_TO", "IP005"),
+        ],
     ),
     "incoming": (
         "incoming_id string, incoming_name string, entity_type string",
@@ -181,15 +208,47 @@ def fixture(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+#: What each class and edge is, in a sentence.
+COMMENTS = {
+    "CyberThreatEntity": "Anything that takes part in an attack or its defence.",
+    "Infrastructure": "Hosts and names that attacks run over.",
+    "ThreatActor": "A group or person behind attacks.",
+    "Malware": "A program made to do harm.",
+    "Vulnerability": "A flaw that a program can be attacked through.",
+    "Campaign": "Attacks that belong together.",
+    "Organization": "A company or body that may be attacked.",
+    "Domain": "A host name seen in an attack.",
+    "IPAddress": "A network address seen in an attack.",
+    "usesMalware": "From an actor to its programs.",
+    "exploits": "From a program to the flaws it needs.",
+    "attributedToCampaign": "From an actor to the attacks ascribed to it.",
+    "targets": "From attacks to whom they are aimed at.",
+    "communicatesWith": "From a program to the host names it calls.",
+    "resolvesTo": "From a host name to its address.",
+}
+
+
+def words_of(name: str) -> str:
+    """A label from a name: `attributedToCampaign` is "attributed to campaign", `IPAddress` is "IP address"."""
+    parts = re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+", name)
+    return " ".join(p if p.isupper() else p.lower() for p in parts)
+
+
 def ontology(spark: SparkSession) -> DataFrame:
-    """Classes, subclass edges and properties with kind, domain, range and label."""
-    rows = [(c, TYPE, "owl:Class", "iri", None) for c in {*PARENTS, *PARENTS.values()}]
+    """The ontology itself, its classes, subclass edges and properties, with kind, domain, range, label and comment: 152 triples."""
+
+    def said(name: str, label: str, predicate: str = "rdfs:label"):
+        return (name, predicate, label, "literal", "xsd:string")
+
+    rows = [("SecurityOntology", TYPE, "owl:Ontology", "iri", None), said("SecurityOntology", "security ontology"), said("SecurityOntology", "Actors, programs, flaws and infrastructure of attacks.", "rdfs:comment")]
+    rows += [(c, TYPE, "owl:Class", "iri", None) for c in {*PARENTS, *PARENTS.values()}]
     rows += [(c, "rdfs:subClassOf", p, "iri", None) for c, p in PARENTS.items()]
     for spec in CLASSES.values():
         for prop in spec.properties.values():
-            rows += [(prop, TYPE, "owl:DatatypeProperty", "iri", None), (prop, "rdfs:domain", spec.name, "iri", None), (prop, "rdfs:range", "xsd:decimal" if prop == "cvssScore" else "xsd:string", "iri", None)]
+            rows += [(prop, TYPE, "owl:DatatypeProperty", "iri", None), (prop, "rdfs:domain", spec.name, "iri", None), (prop, "rdfs:range", "xsd:decimal" if prop == "cvssScore" else "xsd:string", "iri", None), said(prop, words_of(prop))]
     for prop, (domain, range_) in ENDS.items():
         rows += [(prop, TYPE, "owl:ObjectProperty", "iri", None), (prop, "rdfs:domain", domain, "iri", None), (prop, "rdfs:range", range_, "iri", None)]
+    rows += [row for name, comment in COMMENTS.items() for row in (said(name, words_of(name)), said(name, comment, "rdfs:comment"))]
     return literal_graph(spark, sorted(rows), "ontology")
 
 
