@@ -92,6 +92,22 @@ def _forward(p: dict, x: np.ndarray, bag: np.ndarray, n: int):
     return h, t, s, weight, z, _sigmoid(z @ p["out"] + p["bias"][0])
 
 
+def _gradients(p: dict, fixed: dict, x: np.ndarray, bag: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict:
+    """Of the mean weighted cross-entropy of the bags (passages `x`, each in its `bag`), with a small decay of `w`."""
+    n = len(y)
+    h, t, s, w, z, score = _forward(p | fixed, x, bag, n)
+    d = (score - y) * weight / n
+    dz = d[:, None] * p["out"]
+    dh = w[:, None] * dz[bag]
+    dw = (h * dz[bag]).sum(1)
+    da = w * (dw - np.bincount(bag, w * dw, n)[bag])
+    gate = da[:, None] * p["a"]
+    dt, ds = gate * s * (1 - t * t), gate * t * s * (1 - s)
+    dh += dt @ p["v"].T + ds @ p["u"].T
+    dx = dh * (1 - h * h)
+    return {"out": z.T @ d, "bias": np.array([d.sum()]), "a": (t * s).T @ da, "v": h.T @ dt, "u": h.T @ ds, "w": ((x - fixed["mean"]) / fixed["std"]).T @ dx + 1e-4 * p["w"], "b": dx.sum(0)}
+
+
 def train(raws: list[np.ndarray], y: np.ndarray, epochs: int = 30, batch: int = 32, rate: float = 0.004, seed: int = 11) -> dict:
     """Parameters from texts and 0/1 labels, by Adam; classes weigh alike. Short parts of the texts are learned too."""
     rng = np.random.default_rng(seed)
@@ -115,17 +131,7 @@ def train(raws: list[np.ndarray], y: np.ndarray, epochs: int = 30, batch: int =
             pick = order[at : at + batch]
             x = np.concatenate([bags[i] for i in pick])
             bag = np.repeat(np.arange(len(pick)), [len(bags[i]) for i in pick])
-            h, t, s, w, z, score = _forward(p | fixed, x, bag, len(pick))
-            d = (score - y[pick]) * weight[pick] / len(pick)
-            dz = d[:, None] * p["out"]
-            dh = w[:, None] * dz[bag]
-            dw = (h * dz[bag]).sum(1)
-            da = w * (dw - np.bincount(bag, w * dw, len(pick))[bag])
-            gate = da[:, None] * p["a"]
-            dt, ds = gate * s * (1 - t * t), gate * t * s * (1 - s)
-            dh += dt @ p["v"].T + ds @ p["u"].T
-            dx = dh * (1 - h * h)
-            g = {"out": z.T @ d, "bias": np.array([d.sum()]), "a": (t * s).T @ da, "v": h.T @ dt, "u": h.T @ ds, "w": ((x - fixed["mean"]) / fixed["std"]).T @ dx + 1e-4 * p["w"], "b": dx.sum(0)}
+            g = _gradients(p, fixed, x, bag, y[pick], weight[pick])
             step += 1
             for k, q in g.items():
                 m[k] = 0.9 * m[k] + 0.1 * q

@@ -253,6 +253,47 @@ def test_language_edges():
     assert language.predict(language.train([]), pa.array(["abc"]))[0].to_pylist() == ["und"]
 
 
+def test_gradients_of_the_attention_equal_differences():
+    m, rng = quality_model, np.random.default_rng(2)
+    p = {"w": rng.normal(0, 0.1, (m.N_FEATURES, 5)), "b": rng.normal(0, 0.1, 5), "v": rng.normal(0, 0.5, (5, 4)), "u": rng.normal(0, 0.5, (5, 4)), "a": rng.normal(0, 0.5, 4), "out": rng.normal(0, 0.5, 5), "bias": rng.normal(0, 0.5, 1)}
+    x, bag, y, weight = rng.normal(0, 1, (9, m.N_FEATURES)), np.array([0, 0, 0, 1, 2, 2, 2, 2, 3]), np.array([1.0, 0, 1, 0]), np.array([0.7, 1.3, 0.7, 1.3])
+    fixed = {"mean": rng.normal(0, 0.1, m.N_FEATURES), "std": np.full(m.N_FEATURES, 0.8)}
+
+    def loss(q):
+        s = m._forward(q | fixed, x, bag, 4)[-1]
+        return -(weight * (y * np.log(s) + (1 - y) * np.log(1 - s))).mean() + 0.5e-4 * np.square(q["w"]).sum()
+
+    got = m._gradients(p, fixed, x, bag, y, weight)
+    for name, value in p.items():
+        for at in rng.integers(0, value.size, 8):
+            up, down = {k: v.copy() for k, v in p.items()}, {k: v.copy() for k, v in p.items()}
+            up[name].flat[at] += 1e-5
+            down[name].flat[at] -= 1e-5
+            assert abs((loss(up) - loss(down)) / 2e-5 - got[name].flat[at]) < 1e-6, name
+
+
+def test_gradients_of_the_network_equal_differences():
+    m, rng = language, np.random.default_rng(4)
+    p = {"emb": rng.normal(0, 0.5, (256, m.DIM)), "out": rng.normal(0, 0.3, (m.FILTERS * len(m.WIDTHS), 3)), "bias": rng.normal(0, 0.1, 3)}
+    for w in m.WIDTHS:
+        p[f"w{w}"], p[f"b{w}"] = rng.normal(0, 0.3, (w * m.DIM, m.FILTERS)), rng.normal(0, 0.1, m.FILTERS)
+    data, y = rng.integers(0, 12, (4, 24)).astype(np.uint8), np.array([0, 1, 2, 1])
+
+    def loss(q):
+        pooled = [np.maximum((m._columns(q["emb"][data], w) @ q[f"w{w}"] + q[f"b{w}"]).max(1), 0) for w in m.WIDTHS]
+        z = np.concatenate(pooled, 1) @ q["out"] + q["bias"]
+        return (np.log(np.exp(z).sum(1)) - z[np.arange(4), y]).mean()
+
+    got = m._gradients(p, data, y)
+    for name, value in p.items():
+        places = rng.integers(0, 12 * m.DIM if name == "emb" else value.size, 12)  # bytes 0 to 11 are read
+        for at in places:
+            up, down = {k: v.copy() for k, v in p.items()}, {k: v.copy() for k, v in p.items()}
+            up[name].flat[at] += 1e-6
+            down[name].flat[at] -= 1e-6
+            assert abs((loss(up) - loss(down)) / 2e-6 - got[name].flat[at]) < 1e-5, name
+
+
 def test_attention_gradients_and_edges():
     rng = np.random.default_rng(5)
     good = [raw(" ".join(rng.choice(["the", "river", "runs", "slowly", "north."], 60))) for _ in range(40)]
