@@ -84,6 +84,16 @@ def _add(out, found):
     return found if out is None else out.unionByName(found)
 
 
+#: What the text of a literal must look like, by its datatype; others take any text.
+LEXICAL = {
+    "xsd:integer": r"^[+-]?[0-9]+$",
+    "xsd:boolean": r"^(true|false|0|1)$",
+    "xsd:double": r"^([+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?|[+-]?INF|NaN)$",
+    "xsd:date": r"^-?[0-9]{4,}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])(Z|[+-][0-9]{2}:[0-9]{2})?$",
+    "xsd:dateTime": r"^-?[0-9]{4,}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})?$",
+}
+
+
 def _bad(c: Constraint):
     value, number = F.col("value"), F.expr("try_cast(value as double)")
     if c.component == "pattern":
@@ -98,7 +108,9 @@ def _bad(c: Constraint):
         return number.isNull() | (number > c.parameter)
     if c.component == "datatype":
         wrong = ~F.col("datatype").eqNullSafe(c.parameter)
-        return wrong | number.isNull() if c.parameter == "xsd:decimal" else wrong
+        if c.parameter == "xsd:decimal":
+            return wrong | number.isNull()
+        return wrong | ~value.rlike(LEXICAL[c.parameter]) if c.parameter in LEXICAL else wrong
     raise ValueError(c.component)
 
 

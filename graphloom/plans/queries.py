@@ -634,6 +634,53 @@ def detect_entity(spark, d):
 ASKED = [(1, "Where is NATION_3?", "nation/3", ["region/3"]), (2, "Tell me about nation 11 please", "nation/11", ["nation/11", "region/1"]), (3, "And AFRICA?", "region/0", ["AFRICA"]), (4, "hm", "region/9", ["x"]), (5, "Nothing known here", "region/9", [])]
 
 
+#: The templates' graph over the star schema: customers as actors, suppliers as malware, parts as vulnerabilities.
+_THREATS = {
+    "customer": [graph.ClassSpec("ThreatActor", "c_custkey", {"c_name": "actorName", "c_mktsegment": "actorType", "c_nationkey": "primaryMotivation"}, "actor/")],
+    "supplier": [graph.ClassSpec("Malware", "s_suppkey", {"s_name": "malwareName", "s_nationkey": "malwareType"}, "malware/")],
+    "part": [graph.ClassSpec("Vulnerability", "p_partkey", {"p_name": "cveId", "p_brand": "severity", "p_size": "cvssScore"}, "cve/")],
+    "nation": [graph.ClassSpec("Campaign", "n_nationkey", {"n_name": "campaignName", "n_regionkey": "attackVector"}, "campaign/"), graph.ClassSpec("Domain", "n_nationkey", {"n_name": "domainName"}, "domain/")],
+    "region": [graph.ClassSpec("Organization", "r_regionkey", {"r_name": "organizationName", "r_regionkey": "industry"}, "organization/"), graph.ClassSpec("IPAddress", "r_regionkey", {"r_name": "ipAddress"}, "ip/")],
+}
+#: (predicate, table, source column, source prefix, target column, target prefix, condition); some targets are not there.
+_THREAT_EDGES = (
+    ("usesMalware", "customer", "c_custkey", "actor/", "c_custkey", "malware/", "true"),
+    ("exploits", "supplier", "s_suppkey", "malware/", "s_suppkey", "cve/", "s_acctbal > 1000"),
+    ("communicatesWith", "supplier", "s_suppkey", "malware/", "s_nationkey", "domain/", "s_acctbal < 5000"),
+    ("resolvesTo", "nation", "n_nationkey", "domain/", "n_regionkey", "ip/", "n_regionkey <> 2"),
+    ("attributedToCampaign", "customer", "c_custkey", "actor/", "c_nationkey", "campaign/", "c_acctbal > 0"),
+    ("targets", "nation", "n_nationkey", "campaign/", "n_regionkey", "organization/", "n_regionkey <> 3"),
+)
+
+
+def _threats(spark, d):
+    parts = [graph.tables_to_triples(table(spark, d, name), spec) for name, specs in _THREATS.items() for spec in specs]
+    for predicate, name, a, pa, b, pb, where in _THREAT_EDGES:
+        rows = table(spark, d, name).where(where).select(F.concat(F.lit(pa), F.col(a).cast("string")).alias("source_id"), F.lit(predicate).alias("relationship"), F.concat(F.lit(pb), F.col(b).cast("string")).alias("target_id"))
+        parts.append(graph.edges_to_triples(rows, {predicate: predicate}))
+    return graph.join_parts(*parts)
+
+
+_THREATS_SQL = """
+with ip as (select n_nationkey as k, r_name as ip_address from nation join region on r_regionkey = n_regionkey where n_regionkey <> 2),
+net as (select s_suppkey, n_name as domain_name, ip_address from supplier join nation on n_nationkey = s_nationkey left join ip on k = n_nationkey where s_acctbal < 5000),
+cve as (select s_suppkey, p_name as cve, p_brand as severity, p_size::double as cvss from supplier join part on p_partkey = s_suppkey where s_acctbal > 1000),
+mal as (select s.s_suppkey, s_name as malware_name, s_nationkey::varchar as malware_type, cve, severity, cvss, domain_name, ip_address from supplier s left join cve using (s_suppkey) left join net using (s_suppkey)),
+org as (select n_nationkey as k, r_name as organization_name, r_regionkey::varchar as industry from nation join region on r_regionkey = n_regionkey where n_regionkey <> 3),
+cam as (select c_custkey, n_name as campaign_name, n_regionkey::varchar as attack_vector, organization_name, industry from customer join nation on n_nationkey = c_nationkey left join org on k = n_nationkey where c_acctbal > 0)
+"""
+
+
+@query(_THREATS_SQL + "select 'actor/' || c.c_custkey::varchar as entity_id, c_name as actor_name, c_mktsegment as actor_type, c_nationkey::varchar as primary_motivation, malware_name, malware_type, cve, severity, cvss, domain_name, ip_address, campaign_name, attack_vector, organization_name, industry from customer c left join mal on s_suppkey = c.c_custkey left join cam on cam.c_custkey = c.c_custkey")
+def actor_context(spark, d):
+    return retrieval.actor_context(_threats(spark, d))
+
+
+@query(_THREATS_SQL + "select 'malware/' || s_suppkey::varchar as entity_id, malware_name, malware_type, c_name as associated_actor, cve, severity, cvss, domain_name, ip_address from mal left join customer on c_custkey = s_suppkey")
+def malware_context(spark, d):
+    return retrieval.malware_context(_threats(spark, d))
+
+
 def _asked(spark, d):
     questions = values(spark, "question_id int, question string, expected_entity_id string, expected_facts array<string>", ASKED)
     t = star.triples(spark, d, ("nation", "region"), ("IN_REGION",)).persist()  # patterns read it once for each predicate

@@ -1,4 +1,4 @@
-"""The calls that an application makes: health, entity, retrieve and ask, each from DataFrames to a DataFrame."""
+"""The calls that an application makes: about, health, entity, retrieve and ask, each from DataFrames to a DataFrame."""
 
 from __future__ import annotations
 
@@ -15,6 +15,10 @@ class GraphService:
     def __init__(self, triples: DataFrame, catalog: DataFrame, generator: answer.Generator = answer.template_generator):
         self.triples, self.catalog, self.generator = triples, catalog, generator
 
+    def about(self) -> DataFrame:
+        """One row: the service's name and its calls."""
+        return self.catalog.sparkSession.createDataFrame([("graphloom", ["about", "health", "entity", "retrieve", "ask"])], "service string, calls array<string>")
+
     def health(self) -> DataFrame:
         """One row: status, triples, entities, time."""
         entities = self.catalog.agg(F.count("*").alias("entities")).withColumn("one", F.lit(1))

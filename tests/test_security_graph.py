@@ -70,6 +70,13 @@ ex:needs
     ]
 
 
+def test_texts_of_datatypes(spark):
+    values = {"xsd:integer": ("-12", "1.0"), "xsd:boolean": ("true", "yes"), "xsd:double": ("-1.5E3", "1,5"), "xsd:date": ("2026-02-28", "2026-13-01"), "xsd:dateTime": ("2026-02-28T10:00:00Z", "2026-02-28 10:00"), "xsd:string": ("any", None)}
+    rows = [(f"{k}{i}", p, v, kind, t) for i, (d, pair) in enumerate(values.items()) for k, text in zip("ab", pair, strict=True) if text for p, v, kind, t in (("rdf:type", "Thing", "iri", None), (d, text, "literal", d))]
+    found = shapes.validate(graph.literal_graph(spark, rows, "t"), [shapes.Constraint("S", "Thing", d, "datatype", d, "m") for d in values])
+    assert sorted(r["value"] for r in found.collect()) == sorted(bad for _, bad in values.values() if bad)
+
+
 def test_rules(triples, faulty):
     assert rules.quality_score(sem(triples)).first() == (54, 53, 1, 97.08)
     assert rules.quality_score(sem(faulty)).first() == (60, 54, 6, 88.31)

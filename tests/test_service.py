@@ -6,6 +6,7 @@ from graphloom.sources import fixtures
 def test_service(spark):
     catalog = build_catalog([(fixtures.fixture(spark, "threat_actors"), "actor_id", "actor_name", "ThreatActor"), (fixtures.fixture(spark, "malware"), "malware_id", "malware_name", "Malware")])
     service = GraphService(fixtures.security_graph(spark).cache(), catalog)
+    assert all(hasattr(service, call) for call in service.about().first()["calls"])
     assert service.health().first()[:1] == ("ok",) and service.health().first()["entities"] == 10
     assert [r["entity_id"] for r in service.entity("solar-drop").collect()] == ["MAL001"]
     assert service.entity("nobody").count() == 0
