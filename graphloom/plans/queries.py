@@ -715,6 +715,15 @@ def answers(spark, d):
     return answer.answer(_asked(spark, d)[1]).select("question_id", "answer", "evidence_status")
 
 
+@query(_ASKED_SQL + f"select question_id, case when status = 'SUCCESS' then entity_name || ': ' || array_to_string(facts, ', ') else '{answer.NO_EVIDENCE}' end as answer, question, status, case when status <> 'ENTITY_NOT_FOUND' then entity_id end as entity_id, case when status = 'SUCCESS' then array_to_string(facts, ' | ') else '' end as evidence, true as is_time from p")
+def answer_trace(spark, d):
+    field = lambda name: F.get_json_object("trace", f"$.{name}").alias(name)
+    evidence = F.array_join(F.from_json(F.get_json_object("trace", "$.evidence"), "array<string>"), " | ").alias("evidence")
+    time = F.get_json_object("trace", "$.generated_at").rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}").alias("is_time")
+    traced = answer.trace(answer.answer(_asked(spark, d)[1]))
+    return traced.select("question_id", field("answer"), field("question"), field("status"), F.get_json_object("trace", "$.detected_entity.entity_id").alias("entity_id"), evidence, time)
+
+
 @query(_ASKED_SQL + "select question_id, entity_id as detected_entity_id, right_one as entity_resolution_correct, array_to_string(matched, ' | ') as matched_facts, array_to_string(missing, ' | ') as missing_facts, coverage as retrieval_coverage, coverage = 1 and right_one as end_to_end_success from y")
 def evaluate_details(spark, d):
     questions, package = _asked(spark, d)
