@@ -294,26 +294,33 @@ def _first_chunks(blocks: DataFrame, chunk: int) -> DataFrame:
     return dealt.withColumns({"c1": F.col("c0"), "side": F.lit(2)})
 
 
-def _open_chunks(blocks: DataFrame, chunk: int) -> DataFrame:
+def _main_components(blocks: DataFrame, chunk: int) -> DataFrame:
+    """token, main, k: the largest component (comp) of each block above `chunk` sets, and how many of its sets it has."""
+    per = blocks.where(F.col("size") > chunk).groupBy("token", "comp").agg(F.count("*").alias("k"))
+    return per.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("top")).select("token", F.col("top.comp").alias("main"), F.col("top.k").alias("k"))
+
+
+def _open_chunks(blocks: DataFrame, main: DataFrame, chunk: int) -> DataFrame:
     """Rows of open blocks (with comp), dealt so that all sets of different components of a block meet.
 
-    A block above `chunk` sets is cut: chunks of its largest component meet all chunks of its other sets, and these
-    meet each other.
+    A block above `chunk` sets is cut: chunks of its largest component (`main`) meet all chunks of its other sets, and these
+    meet each other. A row is dealt to all its chunks at once, so `blocks` is read once for the small and once for the large.
     """
     whole = blocks.where(F.col("size") <= chunk).withColumns({"c0": F.lit(0), "c1": F.lit(0), "side": F.lit(2)})
-    large = blocks.where(F.col("size") > chunk)
-    per = large.groupBy("token", "comp").agg(F.count("*").alias("k"))
-    main = per.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("top")).select("token", F.col("top.comp").alias("main"), F.col("top.k").alias("k"))
     own = F.col("comp") == F.col("main")
     chunks = {True: F.ceil(F.col("k") / F.lit(chunk)).cast("int"), False: F.greatest(F.ceil((F.col("size") - F.col("k")) / F.lit(chunk)), F.lit(1)).cast("int")}
-    cut = large.join(main, "token").withColumns({"main": own, "ours": F.pmod(F.xxhash64("set"), F.when(own, chunks[True]).otherwise(chunks[False])).cast("int"), "m": chunks[True], "o": chunks[False]})
+    cut = blocks.where(F.col("size") > chunk).join(main, "token").withColumns({"main": own, "ours": F.pmod(F.xxhash64("set"), F.when(own, chunks[True]).otherwise(chunks[False])).cast("int"), "m": chunks[True], "o": chunks[False]})
+    ours, others = F.col("ours"), F.sequence(F.lit(0), F.col("o") - 1)
+
+    def to(c0, c1, side):
+        return F.struct(c0.alias("c0"), c1.alias("c1"), side.alias("side"))
+
     # c0 below zero: the main component's chunk (side 0) against one of the others (side 1)
-    rest = [c for c in blocks.columns if c != "comp"]
-    first = cut.where("main").withColumn("c1", F.explode(F.sequence(F.lit(0), F.col("o") - 1))).select(*rest, "comp", (-1 - F.col("ours")).alias("c0"), "c1", F.lit(0).alias("side"))
-    second = cut.where("not main").withColumn("c0", F.explode(F.sequence(-F.col("m"), F.lit(-1)))).select(*rest, "comp", "c0", F.col("ours").alias("c1"), F.lit(1).alias("side"))
-    third = cut.where("not main").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("o") - 1))).withColumns({"c0": F.least("ours", "other"), "c1": F.greatest("ours", "other")})
-    third = third.select(*rest, "comp", "c0", "c1", F.when(F.col("c0") == F.col("c1"), 2).when(F.col("ours") == F.col("c0"), 0).otherwise(1).alias("side"))
-    return whole.select(*rest, "comp", "c0", "c1", "side").unionByName(first).unionByName(second).unionByName(third)
+    first = F.transform(others, lambda c: to(-1 - ours, c, F.lit(0)))
+    second = F.transform(F.sequence(-F.col("m"), F.lit(-1)), lambda c: to(c, ours, F.lit(1)))
+    third = F.transform(others, lambda c: to(F.least(ours, c), F.greatest(ours, c), F.when(c == ours, 2).when(ours < c, 0).otherwise(1)))
+    dealt = cut.withColumn("to", F.explode(F.when(F.col("main"), first).otherwise(F.concat(second, third))))
+    return whole.unionByName(dealt.select(*blocks.columns, "to.c0", "to.c1", "to.side"))
 
 
 def _pairs(dealt: DataFrame, percent: int, few: int | None = None) -> DataFrame:
@@ -505,7 +512,10 @@ def _linked(steps: Scratch, reps: DataFrame, docs: DataFrame, words: int, percen
         open_ = steps.table(f"open{turn}", inside.join(checked_broadcast(several), "token", "left_semi"))
         # a set's open blocks, if few: only these find out which block hands on a pair, others hand on twice
         lists = open_.groupBy("set").agg(F.collect_list("token").alias("tokens")).withColumn("tokens", F.when(F.size("tokens") <= OPEN_LISTED, F.col("tokens")))
-        pairs = steps.table(f"pairs{turn}", _pairs(_open_chunks(open_.join(about, "set").join(lists, "set"), chunk), percent, few))
+        known = steps.table(f"known{turn}", about.join(lists, "set"))  # a row a set, so the rows of the blocks meet one table
+        main = checked_broadcast(durable(_main_components(open_, chunk)))
+        pairs = steps.table(f"pairs{turn}", _pairs(_open_chunks(open_.join(known, "set"), main, chunk), percent, few))
+        steps.drop(f"known{turn}")
         new = durable(pairs.where("a <> b").select("a", "b").distinct().join(told.select("a", "b"), ["a", "b"], "left_anti"))
         turn, few = turn + 1, 8 * few
 

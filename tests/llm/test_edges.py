@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for every operator and stage."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -126,6 +127,57 @@ def test_jaccard_where_many_pairs_fail(spark, chunk=6):
     assert 3 < len(set(comp)) < len(texts) - 3
 
 
+def joined_by_set(spark):
+    """Rows that inner joins by set have made so far, as Spark counts them."""
+    store, total = spark._jsparkSession.sharedState().statusStore(), 0
+    runs = store.executionsList()
+    for e in (runs.apply(i).executionId() for i in range(runs.size())):
+        counts, nodes = store.executionMetrics(e), store.planGraph(e).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if re.search(r"Join \[set#\d+\], \[set#\d+\], Inner", node.desc()):
+                rows = [counts.get(node.metrics().apply(i).accumulatorId()) for i in range(node.metrics().size()) if node.metrics().apply(i).name() == "number of output rows"]
+                total += sum(int(x.get().replace(",", "")) for x in rows if x.isDefined())
+    return total
+
+
+def test_jaccard_reads_a_row_of_a_block_once(spark, monkeypatch):
+    """A large group of near copies, cut into chunks: its rows meet their sets once a round, not once for each way to deal them."""
+    rng, texts = random.Random(3), []
+    base = [f"w{i}" for i in range(60)]
+    for _ in range(90):
+        own = base[:]
+        for i in rng.sample(range(15, 60), rng.randrange(4)):
+            own[i] = f"x{rng.randrange(10**9)}"
+        texts.append(" ".join(own))
+    kept, table, before = [], jaccard.Scratch.table, joined_by_set(spark)
+
+    def counted(steps, name, df):
+        out = table(steps, name, df)
+        kept.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard.Scratch, "table", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    size, comp = brute(texts, 3, 80)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_copies(df, 3, 80, chunk=8).collect()} == {i: (size[i], comp[i]) for i in range(len(texts))}
+    rows, sets = sum(n for name, n in kept if name.startswith(("blocks", "open"))), sum(n for name, n in kept if name.startswith(("held", "known")))
+    assert sum(n for name, n in kept if name.startswith("open")) > len(texts)
+    assert 0 < joined_by_set(spark) - before <= rows + 2 * sets + 2 * len(texts)
+
+
+def test_open_chunks_let_all_others_meet(spark):
+    """Of each open block any two sets of different components meet in one chunk, on its two sides or in a chunk of its own."""
+    rng = random.Random(4)
+    rows = [(t, n, i, (0 if rng.random() < 0.6 else rng.randrange(1, 9))) for t, n in ((1, 70), (2, 9), (3, 30)) for i in range(n)]
+    blocks = spark.createDataFrame(rows, "token long, size long, set long, comp long")
+    chunks = {}
+    for r in jaccard._open_chunks(blocks, jaccard._main_components(blocks, 10), 10).collect():
+        chunks.setdefault((r["token"], r["c0"], r["c1"]), []).append((r["set"], r["side"]))
+    met = [(k[0], min(x, y), max(x, y)) for k, v in chunks.items() for i, (x, p) in enumerate(v) for y, q in v[:i] if p == 2 or p != q]
+    pairs = {(t, i, j) for t, _, i, a in rows for u, _, j, b in rows if t == u and i < j and a != b}
+    assert pairs <= set(met) and len(met) == len(set(met))
+
+
 def test_components_in_tables(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100 + i, 100) for i in range(1, 9)] + [(200, 201), (201, 200), (7, 7)]
     links = spark.createDataFrame([(bytes([a]), bytes([b])) for a, b in chain if max(a, b) < 256], "a binary, b binary")
