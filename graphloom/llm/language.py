@@ -10,6 +10,12 @@ Training sees at most `per_language` documents of each of the `max_languages` mo
 parameters bound the fit only; every text is predicted whole. A language beyond the `max_languages` most frequent is not
 learned, so a caller with more labelled languages raises the bound.
 
+The pipeline's stage asks the same network for texts that show no language: there it learns two classes more from made texts,
+NOTHING (random letters, digits and keys) and OTHER (made languages of syllables in several scripts, so that a language without
+labels is not taken for nothing). A text goes if the odds of its windows for NOTHING are together ODDS to one, on their
+geometric mean SHOWN to one, and none of them is SHOWN to one against it, so a text that holds a language somewhere stays. A text without a window of `LEAST_BYTES` bytes is
+too short to tell and stays. Without any labels only texts without a letter go.
+
 Defined results: a null or empty text, or one without any letter, is `und` with score 0; null languages and null ids are
 never learned from; no labelled rows at all make every text `und`; a single language is learned as such; repeated rows
 are judged each for itself; an empty table gives no rows; extra columns are ignored.
@@ -17,6 +23,10 @@ are judged each for itself; an empty table gives no rows; extra columns are igno
 
 from __future__ import annotations
 
+import functools
+import math
+import string
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +41,20 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16
 DIM = 8
 UNDETERMINED = "und"
+NOTHING, OTHER = "\0nothing", "\0other"
+LEAST_BYTES = 64
+ODDS = 1000
+SHOWN = 9
+_KINDS = [  # letters, and how long their runs are
+    ("0123456789abcdef", 24, 80), (string.ascii_letters + "0123456789+/", 40, 200), (string.ascii_lowercase, 1, 14),
+    (string.ascii_letters + "0123456789", 4, 24), ("asdfghjkl;qwertyuiop", 3, 20), (string.ascii_uppercase + "0123456789", 8, 40),
+]
+_SCRIPTS = [  # vowels and consonants; the first two count most, as runs of NOTHING are Latin too
+    ("aeiou", "bcdfghjklmnprstvwz"), ("aeiouyäöåáéíóúüâêôőűąęõ", "bcdfghjklmnpqrstvwxzčšžłńśćżđğışţ"), ("αεηιουω", "βγδζθκλμνξπρστφχψ"),
+    ("аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ"), ("אוי", "בגדהחטכלמנספצקרשת"), ("اوي", "بتثجحخدذرزسشصطعفقكلمنه"),
+    ("ािीुूेैो", "कखगघचछजझटडणतदधनपफबभमयरलवशसह"), ("あいうえおかきくけこさしすせそ", "日本語中国人大学生時間私山川田"),
+    ("的一是不了", "人我在有他这为之大来以个中上们"),
+]
 
 
 def windows(raw: np.ndarray, length: int = WINDOW) -> np.ndarray:
@@ -104,6 +128,30 @@ def _gradients(p: dict, data: np.ndarray, y: np.ndarray) -> dict:
     return g
 
 
+@functools.lru_cache(maxsize=1)
+def made_texts(n: int = 150) -> list[tuple[bytes, str]]:
+    """`n` texts each of NOTHING and OTHER, the same each time."""
+    rng, out = np.random.default_rng(7), []
+    for i in range(n):
+        letters, low, high = _KINDS[i % len(_KINDS)]
+        runs = [rng.choice(list(letters), rng.integers(low, high + 1)) for _ in range(2 * EXCERPT // (low + high) + 1)]
+        out.append(((" " if rng.random() < 0.7 else "\n").join("".join(x) for x in runs)[:EXCERPT].encode(), NOTHING))
+    for i in range(n):
+        vowels, consonants = (rng.permutation(list(x))[: rng.integers(len(x) // 2, len(x)) + 1] for x in _SCRIPTS[i % 3 if i % 3 < 2 else 2 + i // 3 % (len(_SCRIPTS) - 2)])
+        v, c = rng.dirichlet(np.ones(len(vowels))), rng.dirichlet(np.ones(len(consonants)))
+        closed = 0.6 * rng.random()
+        words = []
+        for _ in range(120):
+            syllables = rng.integers(1, 5)
+            several = rng.random((syllables, 4)) < (0.85, 0.15, 0.12, closed)
+            v_, c_ = rng.choice(vowels, (syllables, 2), p=v), rng.choice(consonants, (syllables, 3), p=c)
+            letters, used = np.column_stack([c_[:, :2], v_, c_[:, 2]]), np.insert(several, 2, True, 1)
+            words.append("".join(letters[used]))
+        share = 1 / np.arange(1, len(words) + 1)
+        out.append((" ".join(rng.choice(words, 260, p=share / share.sum())).capitalize()[:EXCERPT].encode(), OTHER))
+    return out
+
+
 _FOLDED: dict = {}
 
 
@@ -175,8 +223,25 @@ def predict(p: dict, column: pa.Array) -> list[pa.Array]:
     return [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
 
 
-def fit(docs: DataFrame, learn=None, per_language: int = 150, max_languages: int = 256, excerpt: int = EXCERPT) -> dict:
-    """The network, trained on the documents for which `learn` holds (default: crc32 of the id mod 3 is not 1)."""
+def shows_language(p: dict, column: pa.Array) -> list[bool]:
+    """Whether each text has a letter and is not NOTHING throughout, if the network knows NOTHING."""
+    out, k = [], p["names"].index(NOTHING) if NOTHING in p["names"] else None
+    for _, raw in texts(column):
+        told, odds, n, at = has_letter(raw), 0.0, 0, 0
+        nothing = told and k is not None
+        data = windows(raw) if nothing else ()
+        while nothing and at < len(data):  # to the first part that shows a language
+            part = data[at : at + 256]
+            logs = log_probabilities(p, part[np.count_nonzero(part, axis=1) >= LEAST_BYTES])[:, k].astype(np.float64)
+            rest = np.log(np.maximum(-np.expm1(logs), 1e-9))
+            nothing, odds, at = bool((logs - rest > -math.log(SHOWN)).all()), odds + float((logs - rest).sum()), at + 256
+            n += len(logs)
+        out.append(told and not (nothing and odds >= max(math.log(ODDS), n * math.log(SHOWN))))
+    return out
+
+
+def fit(docs: DataFrame, learn=None, per_language: int = 150, max_languages: int = 256, excerpt: int = EXCERPT, made: tuple[tuple[bytes, str], ...] = (), steps: int = 260) -> dict:
+    """The network, trained on the documents for which `learn` holds (default: crc32 of the id mod 3 is not 1), and on `made` texts."""
     learn = crc_fold(3) != 1 if learn is None else learn
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & learn)
     rank = F.xxhash64(F.lit(3), "doc_id")
@@ -189,7 +254,7 @@ def fit(docs: DataFrame, learn=None, per_language: int = 150, max_languages: int
     start = F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.greatest(F.length("text") - excerpt, F.lit(1))).cast("int") + 1
     rows = known.join(F.broadcast(limit), "lang").where(rank <= F.col("bound")).select("doc_id", "lang", F.col("text").substr(start, F.lit(excerpt)).alias("part")).orderBy(rank, "lang", "part").limit(2 * per_language * len(bounds)).collect()  # in order: rows that repeat an id give the same fit each time
     rows.sort(key=lambda r: (r["doc_id"], r["lang"], r["part"]))
-    return train([(r["part"].encode("utf-8", "replace"), r["lang"]) for r in rows])
+    return train([(r["part"].encode("utf-8", "replace"), r["lang"]) for r in rows] + list(made), steps)
 
 
 def identify(docs: DataFrame, model: dict, carry: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
@@ -197,10 +262,12 @@ def identify(docs: DataFrame, model: dict, carry: list[str], names: tuple[str, s
     return map_texts(docs, lambda column: predict(model, column), f"`{names[0]}` string, `{names[1]}` double", carry)
 
 
-def keep_identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """The documents whose language the network tells with a score of `least` or more: unless asked, all but `und`, as clean texts of several languages score low."""
-    lang, score = unused(docs.columns, "lang_pred", "score")
-    return identify(docs, fit(docs), docs.columns, (lang, score)).where((F.col(lang) != UNDETERMINED) & (F.col(score) >= least)).drop(lang, score)
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """The documents that show a language: those without a letter go, and those of which the network finds every window to be
+    NOTHING. Texts of several languages, and of languages without labels, stay; no document's own label counts."""
+    told = unused(docs.columns, "told")[0]
+    model = fit(docs, made=tuple(made_texts()), steps=400)
+    return map_texts(docs, lambda column: [pa.array(shows_language(model, column), pa.bool_())], f"`{told}` boolean", docs.columns).where(F.col(told)).drop(told)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

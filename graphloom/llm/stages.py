@@ -2,7 +2,8 @@
 
 Defined results, for every stage: an empty table gives no rows; extra columns are kept; texts are read whole, however long.
 
-- language_id: texts without a letter, null and empty ones among them, go; repeated rows are judged each for itself.
+- language_id: texts without a letter, null and empty ones among them, go, and texts that the network finds to be no language
+  throughout (random letters, keys, dumps); short texts stay; repeated rows are judged each for itself.
 - ngram_jaccard: of a group the row with the smallest id stays, null last, then by a hash of the text; texts without words
   stay, as they are linked with nothing; of rows that repeat an id and its text one stays.
 - decontaminate: rows with a null id or text are never dropped; rows that share an id go together.
@@ -21,7 +22,7 @@ from .common import table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without a letter go."""
+    """Documents that show a language; those without a letter, or of random letters throughout, go."""
     return language.keep_identified(docs).select(*docs.columns)
 
 

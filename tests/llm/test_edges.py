@@ -238,6 +238,19 @@ def test_texts_of_several_languages_are_kept(spark):
     assert {r["doc_id"] for r in language.keep_identified(docs).collect()} == set(scores) - {101}
 
 
+def test_texts_of_no_language_go(spark):
+    """The network decides; texts of other languages, short and mixed ones stay."""
+    rng = random.Random(8)
+    run = lambda letters, low, high: " ".join("".join(rng.choices(letters, k=rng.randint(low, high))) for _ in range(1200 // low))
+    nothing = [run("0123456789abcdef", 32, 64), run("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", 60, 76), run("abcdefghijklmnopqrstuvwxyz", 3, 12), run("asdfghjkl;", 4, 12)]
+    other = ["Joki virtaa hitaasti pohjoiseen ja kaupunki sijaitsee sen rannalla, missä vanhat talot seisovat vierekkäin. ", "Rzeka płynie powoli na północ, a miasto leży na jej brzegu, gdzie stare domy stoją obok siebie. ", "Το ποτάμι κυλά αργά προς τα βόρεια και η πόλη βρίσκεται στην όχθη του. ", "河水缓缓向北流去，城镇坐落在河岸上，那里的老房子并排矗立，人们在傍晚散步。"]
+    kept = [*(x * 8 for x in other), nothing[0] + " " + PROSE[0] * 12, "qxz kjw", PROSE[1]]
+    rows = [(i, PROSE[i % 2] * (4 + i), ("en", "de")[i % 2]) for i in range(30)] + [(100 + i, t, None) for i, t in enumerate(kept)] + [(200 + i, t, None) for i, t in enumerate(nothing)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in language.keep_identified(docs).collect()} == {i for i, _, _ in rows if i < 200}
+    assert language.keep_identified(docs.withColumn("lang", F.lit(None).cast("string"))).count() == len(rows)  # nothing is learned without labels
+
+
 def test_scans(docs, none, odd):
     for scan in (secrets.scan_secrets, personal.scan_personal):
         assert scan(odd, odd.columns).count() == len(rows())
